@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.base import PipelineStage
+from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ CATEGORICAL = ("type",)
 TEXT = "name"
 FEATURES = "featureVector"
 
+Stage = Estimator | Transformer
+
 
 def assemble(inputs: Sequence[str], output: str, invalid: str = "error") -> VectorAssembler:
     return VectorAssembler(inputCols=list(inputs), outputCol=output, handleInvalid=invalid)
@@ -54,9 +56,9 @@ def feature_stages(
     text_partitions: int | None = None,
     output: str = FEATURES,
     seed: int = 2020,
-) -> list[PipelineStage]:
+) -> list[Stage]:
     """Stages from cleaned columns to one vector: one-hot, scaled numbers, word vectors."""
-    stages: list[PipelineStage] = []
+    stages: list[Stage] = []
     parts = []
     if numeric:
         stages += [assemble(numeric, "unscaled_continuous_features"), scaler()]

@@ -11,14 +11,14 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.base import Estimator, Model, PipelineStage
+from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ratingml.operators.features import FEATURES, feature_stages, vector_size
+from ratingml.operators.features import FEATURES, Stage, feature_stages, vector_size
 
 CLASS_LABEL = "label"
 RATING = "rating"
@@ -130,7 +130,7 @@ def make_model(name: str, features: DataFrame, **params) -> Estimator:
 def train(
     df: DataFrame,
     algo: str,
-    stages: Sequence[PipelineStage] | None = None,
+    stages: Sequence[Stage] | None = None,
     keep_features: bool = True,
     **params,
 ) -> PipelineModel:

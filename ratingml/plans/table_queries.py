@@ -236,18 +236,14 @@ def fill_mean_of_items(spark, sf_dir):
 )
 def fill_approximate_median(spark, sf_dir):
     """The filled value must lie within the promised tenth of the ranks around the middle."""
-    rows = joined(spark, sf_dir)
-    # the value that went into the gaps, next to every row's own value
-    filled = clean.impute(
-        rows.withColumn("own", F.col("web_rating")), median_cols=["web_rating"], relative_error=0.1
-    )
-    value = F.max(F.when(F.col("own").isNull(), F.col("web_rating"))).alias("fill")
-    fill = filled.agg(value)
-    ranked = filled.join(F.broadcast(fill))
+    rows = joined(spark, sf_dir).withColumn("own", F.col("web_rating"))
+    filled = clean.impute(rows, median_cols=["web_rating"], relative_error=0.1)
+    # the value that went into the gaps
+    fill = filled.agg(F.max(F.when(F.col("own").isNull(), F.col("web_rating")))).first()[0]
     known = F.count("own")
-    below = F.count_if(F.col("own") < F.col("fill")) / known
-    up_to = F.count_if(F.col("own") <= F.col("fill")) / known
-    return ranked.agg(
+    below = F.count_if(F.col("own") < fill) / known
+    up_to = F.count_if(F.col("own") <= fill) / known
+    return filled.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("web_rating").isNull()).alias("n_null"),
         ((below <= 0.6) & (up_to >= 0.4)).alias("within_rank_bound"),
@@ -265,19 +261,17 @@ def fill_exact_median(spark, sf_dir):
 
 
 @query(
-    "cln4_exact_median_of_quantity",
-    "SELECT l_returnflag, median(l_extendedprice) AS median_price FROM lineitem GROUP BY l_returnflag",
+    "cln4_exact_median_by_bracketing",
+    """SELECT median(l_extendedprice) AS median_price, median(l_quantity) AS median_quantity, count(*) AS n
+       FROM lineitem""",
 )
 def exact_median_by_bracketing(spark, sf_dir):
-    """Medians by repeated bracketing, with the in-memory step kept small."""
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    found = None
-    for value in profile.categories(lines, "l_returnflag", max_values=100):
-        part = clean.equal_to(lines, "l_returnflag", value)
-        middle = exact_median(part, "l_extendedprice", small=100)
-        row = part.limit(1).select("l_returnflag", F.lit(middle).alias("median_price"))
-        found = row if found is None else found.unionByName(row)
-    return found
+    """Exact medians with the rows that reach the driver kept to a hundred."""
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    price, quantity = [exact_median(lines, c, small=100) for c in lines.columns]
+    return lines.agg(
+        F.lit(price).alias("median_price"), F.lit(quantity).alias("median_quantity"), F.count(F.lit(1)).alias("n")
+    )
 
 
 @query(
