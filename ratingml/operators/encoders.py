@@ -250,3 +250,12 @@ def index_in_place(df: DataFrame, columns: Sequence[str], order: str = "frequenc
     indexed = model.transform(df)
     names = dict(zip(columns, temporary))
     return indexed.select(*[F.col(names[c]).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def mark_categorical(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Tell tree models that index columns are categories, with this many values each."""
+    marked = {
+        c: F.col(c).alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": n}})
+        for c, n in sizes.items()
+    }
+    return df.select(*[marked.get(c, F.col(c)) for c in df.columns])

@@ -1 +1,282 @@
+"""Queries over models, tuning, evaluation, saving and scoring."""
 
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ratingml.operators import clean, encoders, features, metrics, models, scoring, splits, tuning
+from ratingml.plans.evaluate import evaluate_holdout
+from ratingml.plans.fixtures import items, joined, signal
+from ratingml.plans.registry import query
+from ratingml.plans.table_queries import HASH_UNIT_SQL
+from ratingml.sources import models as model_files
+from ratingml.sources import tables
+from ratingml.storage import scratch_path
+from ratingml.streaming import scoring as streams
+
+PAIR = ["user_id", "item_id"]
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Cleaned rows whose rating depends on the item, with the class label."""
+    return clean.process(signal(spark, sf_dir))
+
+
+def _matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows ``(user_id, item_id, feature, label)`` for boosted trees."""
+    rows = _labelled(spark, sf_dir).select(*PAIR, "rating", "episodes", "web_rating", "members", "type")
+    wide = encoders.one_hot_columns(rows, "type", prefix="type_").drop("type", "label")
+    named = wide.withColumnRenamed("rating", "label")
+    inputs = [c for c in named.columns if c not in (*PAIR, "label")]
+    vectors = features.assemble(inputs, "feature").transform(named).select(*PAIR, "feature", "label")
+    return splits.hash_split(vectors, 0.8, PAIR)
+
+
+# ---------------------------------------------------------------- models
+
+
+@query("mod1_perceptron")
+def perceptron(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return models.train(rows, "mlp").transform(rows).select(*PAIR, "label", "pred")
+
+
+@query("mod2_random_forest")
+def random_forest(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return models.train(rows, "rf").transform(rows).select(*PAIR, "label", "pred")
+
+
+@query("mod3_boosted_trees")
+def boosted_trees(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return models.train(rows, "gbdt").transform(rows).select(*PAIR, "rating", "pred")
+
+
+def _one_feature(rows: DataFrame) -> PipelineModel:
+    stages = [features.assemble(["web_rating"], features.FEATURES, invalid="skip")]
+    return models.train(clean.complete_rows(rows, ["web_rating", "rating"]), "glr", stages=stages)
+
+
+@query(
+    "mod4_linear_coefficients",
+    """SELECT round(regr_slope(rating, web_rating), 6) AS slope, round(regr_intercept(rating, web_rating), 6) AS intercept,
+              count(*) AS n FROM signal WHERE web_rating IS NOT NULL""",
+)
+def linear_coefficients(spark, sf_dir):
+    rows = signal(spark, sf_dir)
+    fitted = _one_feature(rows).stages[-1]
+    return clean.complete_rows(rows, ["web_rating"]).agg(
+        F.round(F.lit(float(fitted.coefficients[0])), 6).alias("slope"),
+        F.round(F.lit(float(fitted.intercept)), 6).alias("intercept"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+@query("mod5_mod8_boosted_with_tolerance")
+def boosted_with_tolerance(spark, sf_dir):
+    """20 rounds at depth 5, stopped when the validation rows gain too little."""
+    train_rows, test_rows = _matrix(spark, sf_dir)
+    fitted = models.fit_with_validation(models.boosted_rounds(), train_rows, test_rows)
+    return fitted.transform(test_rows).select(*PAIR, "label", "pred")
+
+
+@query("mod6_boosted_small")
+def boosted_small(spark, sf_dir):
+    train_rows, test_rows = _matrix(spark, sf_dir)
+    return models.boosted_small().fit(train_rows).transform(test_rows).select(*PAIR, "label", "pred")
+
+
+@query("mod7_boosted_on_categories")
+def boosted_on_categories(spark, sf_dir):
+    """Ids and type as indexes, type marked as a category, 77 leaves or more."""
+    rows = signal(spark, sf_dir).select(*PAIR, "type", "episodes", "web_rating", "members", "rating")
+    indexed = encoders.mark_categorical(encoders.index_in_place(rows, [*PAIR, "type"]), {"type": 6})
+    train_rows, test_rows = splits.hash_split(features.assemble_all_but(indexed, "rating"), 0.8, PAIR)
+    fitted = models.boosted_leafwise(max_categories=6).fit(train_rows)
+    return fitted.transform(test_rows).select(*PAIR, "rating", "pred")
+
+
+@query("mod8_patience")
+def patience(spark, sf_dir):
+    """Metrics of all rounds, and the number of rounds that patience 2 keeps."""
+    train_rows, test_rows = _matrix(spark, sf_dir)
+    fitted, found = models.fit_with_patience(models.boosted_small(), train_rows, test_rows, patience=2)
+    return found.withColumn("kept_rounds", F.lit(len(fitted.treeWeights)))
+
+
+@query("mod9_metric_per_round")
+def metric_per_round(spark, sf_dir):
+    train_rows, test_rows = _matrix(spark, sf_dir)
+    fitted = models.boosted_small().fit(train_rows)
+    return models.round_metrics(fitted, {"train": train_rows, "eval": test_rows}, "label")
+
+
+@query("mod10_mod11_train_by_name")
+def train_by_name(spark, sf_dir):
+    """One predictor chosen by name after another, on one feature definition."""
+    rows = _labelled(spark, sf_dir)
+    found = None
+    for name in models.REGRESSORS:
+        trained = models.Regressor(name)
+        trained.train(rows, stages=features.feature_stages(text=None))
+        scored = trained.transform(rows).select(*PAIR, F.lit(name).alias("algorithm"), "rating", "pred")
+        found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+# ---------------------------------------------------------------- tuning and evaluation
+
+
+@query("tun1_tun5_sor1_ranked_search")
+def ranked_search(spark, sf_dir):
+    """The six linear models of the grid, best first."""
+    rows = _labelled(spark, sf_dir)
+    stages = features.feature_stages(text=None)
+    vectors = Pipeline(stages=stages).fit(rows).transform(rows).select(features.FEATURES, "rating")
+    estimator, evaluator = models.linear(), metrics.regression_evaluator()
+    vectors = vectors.persist()
+    try:
+        fitted = tuning.search(vectors, estimator, evaluator, tuning.default_grid("glr", estimator))
+    finally:
+        vectors.unpersist()
+    return tuning.ranking(spark, fitted, evaluator)
+
+
+@query("eva1_eva2_holdout_regressor")
+def holdout_regressor(spark, sf_dir):
+    report = evaluate_holdout(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
+    return report.summary
+
+
+@query("eva1_eva2_holdout_classifier")
+def holdout_classifier(spark, sf_dir):
+    report = evaluate_holdout(
+        _labelled(spark, sf_dir), "rf", grid={"maxDepth": [3, 5], "numTrees": [20]}, stages=features.feature_stages(text=None)
+    )
+    return report.ranked
+
+
+PART_SQL = f"""CASE WHEN {HASH_UNIT_SQL.format("concat(user_id, ':', item_id, ':42')")} < 0.8
+                    THEN 'train' ELSE 'test' END"""
+
+
+@query(
+    "eva3_train_and_test_rmse",
+    f"""SELECT part AS "set", round(sqrt(avg(power(a + b * web_rating - rating, 2))), 6) AS rmse
+        FROM (SELECT *, {PART_SQL} AS part FROM signal WHERE web_rating IS NOT NULL) s,
+             (SELECT regr_intercept(rating, web_rating) AS a, regr_slope(rating, web_rating) AS b
+              FROM (SELECT *, {PART_SQL} AS part FROM signal WHERE web_rating IS NOT NULL) t WHERE part = 'train') m
+        GROUP BY part""",
+)
+def train_and_test_rmse(spark, sf_dir):
+    rows = clean.complete_rows(signal(spark, sf_dir).select(*PAIR, "rating", "web_rating"))
+    train_rows, test_rows = splits.hash_split(rows, 0.8, PAIR)
+    fitted = _one_feature(train_rows)
+    report = metrics.fit_report(fitted, {"train": train_rows, "test": test_rows})
+    return report.select("set", F.round("rmse", 6).alias("rmse"))
+
+
+@query("udf3_timed_action")
+def timed_action(spark, sf_dir):
+    rows = joined(spark, sf_dir)
+    count, seconds = metrics.timed(spark, rows.count, "count of joined rows")
+    return seconds.withColumn("n_rows", F.lit(count))
+
+
+# ---------------------------------------------------------------- saving and scoring
+
+LINE_SQL = """(SELECT regr_intercept(rating, web_rating) AS a, regr_slope(rating, web_rating) AS b
+               FROM signal WHERE web_rating IS NOT NULL) m"""
+SCORED_SQL = f"""SELECT user_id, item_id, round(a + b * web_rating, 6) AS pred
+                 FROM signal, {LINE_SQL} WHERE web_rating IS NOT NULL"""
+
+
+@query("sco1_score_table", SCORED_SQL)
+def score_table(spark, sf_dir):
+    rows = signal(spark, sf_dir).select(*PAIR, "rating", "web_rating")
+    return scoring.score(_one_feature(rows), rows).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "snk3_src6_sco2_score_with_saved_model",
+    f"SELECT item_id, round(a + b * web_rating, 6) AS pred FROM items, {LINE_SQL} WHERE web_rating IS NOT NULL",
+)
+def score_with_saved_model(spark, sf_dir):
+    path = scratch_path(spark, "model")
+    model_files.save_model(_one_feature(signal(spark, sf_dir)), path)
+    requests = items(spark, sf_dir).select("item_id", "name", "type", "web_rating", "members")
+    return scoring.score_saved(spark, path, requests).select("item_id", F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "sco3_rejected_requests",
+    """SELECT item_id, 'null feature: ' || concat_ws(', ', CASE WHEN TRY_CAST(episodes_raw AS INT) IS NULL THEN 'episodes' END,
+              CASE WHEN web_rating IS NULL THEN 'web_rating' END, CASE WHEN type IS NULL THEN 'type' END) AS reason
+       FROM items WHERE TRY_CAST(episodes_raw AS INT) IS NULL OR web_rating IS NULL OR type IS NULL""",
+)
+def rejected_requests(spark, sf_dir):
+    fitted = models.train(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
+    requests = clean.sentinel_to_number(items(spark, sf_dir), "episodes_raw", value=None, output="episodes")
+    return scoring.check_requests(fitted, requests).rejected.select("item_id", "reason")
+
+
+@query(
+    "sco4_reloaded_model_agrees",
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differ FROM signal",
+)
+def reloaded_model_agrees(spark, sf_dir):
+    """Predictions of a boosted model before and after saving, row by row."""
+    path = scratch_path(spark, "boosted")
+    rows = _labelled(spark, sf_dir)
+    fitted = models.train(rows, "gbdt", stages=features.feature_stages(text=None))
+    model_files.save_model(fitted, path)
+    again = model_files.load_model(path)
+    both = again.transform(
+        fitted.transform(rows).select(*rows.columns, F.col("pred").alias("first"))
+    )
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("first").eqNullSafe(F.col("pred"))).alias("n_differ")
+    )
+
+
+@query("sco5_fun10_class_probabilities")
+def class_probabilities(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    fitted = models.train(rows, "rf", stages=features.feature_stages(text=None), numTrees=20)
+    return scoring.class_output(fitted.transform(rows), PAIR)
+
+
+@query(
+    "sco6_predict_one_vector",
+    f"""SELECT user_id, item_id, round(a + b * web_rating, 6) AS pred FROM signal, {LINE_SQL}
+        WHERE web_rating IS NOT NULL ORDER BY user_id, item_id LIMIT 1""",
+)
+def predict_one_vector(spark, sf_dir):
+    """The model's answer for the vector of the first row."""
+    fitted = _one_feature(signal(spark, sf_dir))
+    vectors = PipelineModel(fitted.stages[:-1]).transform(signal(spark, sf_dir))
+    first = vectors.orderBy(*PAIR).limit(1).select(*PAIR, features.FEATURES)
+    value = scoring.predict_vector(fitted.stages[-1], first.first()[features.FEATURES])
+    return first.select(*PAIR, F.round(F.lit(value), 6).alias("pred"))
+
+
+@query("sco7_score_stream", SCORED_SQL)
+def score_stream(spark, sf_dir):
+    """Rows that arrive as files, scored by a stream and read back."""
+    source, target, state = [scratch_path(spark, n) for n in ("requests", "scored", "state")]
+    rows = signal(spark, sf_dir).select(*PAIR, "rating", "web_rating")
+    fitted = _one_feature(rows)
+    tables.write_parquet(rows.drop("rating"), source)
+    arriving = streams.read_requests(spark, source, rows.drop("rating").schema)
+    scored = streams.scored_stream(fitted, arriving, output=[*PAIR, F.round("pred", 6).alias("pred")])
+    streams.start_scoring(scored, target, state, available_now=True).awaitTermination()
+    return tables.read_parquet(spark, target)
+
+
+@query("snk5_tree_dump")
+def tree_dump(spark, sf_dir):
+    train_rows, _ = _matrix(spark, sf_dir)
+    return model_files.tree_dump(spark, models.boosted_small().fit(train_rows))
