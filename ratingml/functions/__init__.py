@@ -4,7 +4,7 @@ from ratingml.functions.columns import (
     compact,
     element,
     flag,
-    hash_text,
+    hash_order,
     hash_unit,
     multi_values,
     number_or_null,
@@ -17,7 +17,7 @@ __all__ = [
     "compact",
     "element",
     "flag",
-    "hash_text",
+    "hash_order",
     "hash_unit",
     "multi_values",
     "number_or_null",

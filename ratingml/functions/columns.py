@@ -51,15 +51,18 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"((?U)\w+)"))
 
 
-def hash_text(keys: Sequence[str], seed: int) -> Column:
-    """md5 of the key values and the seed: a seeded order that any engine repeats."""
-    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+def hash_order(keys: Sequence[str], seed: int) -> Column:
+    """60-bit number from the md5 of the key values and the seed.
+
+    A seeded random order that any engine repeats, in 8 bytes per row.
+    """
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, _HASH_DIGITS), 16, 10).cast("long")
 
 
 def hash_unit(keys: Sequence[str], seed: int) -> Column:
     """Number in [0, 1), fixed by key values and seed, whatever the partitioning."""
-    digits = F.substring(hash_text(keys, seed), 1, _HASH_DIGITS)
-    return F.conv(digits, 16, 10).cast("long").cast("double") / float(16**_HASH_DIGITS)
+    return hash_order(keys, seed).cast("double") / float(16**_HASH_DIGITS)
 
 
 def element(vector: Column | str, i: int) -> Column:

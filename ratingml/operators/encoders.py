@@ -195,15 +195,20 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
         """``(column, n, index)`` of one input column."""
         return self.table.filter(F.col("column") == column).select(column, "n", "index")
 
+    def _hot_columns(self, hot_rows: int) -> set[str]:
+        found = self.table.filter(F.col("n") > hot_rows).select("column").distinct()
+        return {row[0] for row in found.collect()}
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         invalid = self.getOrDefault(self.handleInvalid)
         hot_rows = self.getOrDefault(self.hotRows)
+        hot_columns = self._hot_columns(hot_rows)
         out = dataset
         for source, target in zip(self.getInputCols(), self.getOutputCols()):
             keys = self.keys_of(source).withColumnRenamed("index", "__index")
             how = "inner" if invalid == "skip" else "left"
-            hot = keys.filter(F.col("n") > hot_rows)
-            out = join_keys(out, keys.drop("n"), source, how, known_hot=hot.drop("n", "__index"))
+            hot = keys.filter(F.col("n") > hot_rows).select(source) if source in hot_columns else None
+            out = join_keys(out, keys.drop("n"), source, how, known_hot=hot)
             index = F.col("__index")
             if invalid == "error":
                 bad = F.raise_error(F.concat(F.lit(f"no index for {source}: "), F.col(source).cast("string")))

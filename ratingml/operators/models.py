@@ -8,6 +8,7 @@ boosted trees with the matching settings, grown by depth.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -127,29 +128,61 @@ def make_model(name: str, features: DataFrame, **params) -> Estimator:
     return build(**params)
 
 
+@contextmanager
+def kept(df: DataFrame, keep: bool = True):
+    """``df`` stored in memory, then on disk, for as long as it is read again and again."""
+    if keep:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        if keep:
+            df.unpersist()
+
+
+def raw_inputs(stages: Sequence[Stage]) -> list[str]:
+    """Columns that the stages read and none of them makes."""
+    made: set[str] = set()
+    wanted: list[str] = []
+    for stage in stages:
+        for name in stage_columns(stage, "inputCol", "inputCols", "featuresCol"):
+            if name not in made and name not in wanted:
+                wanted.append(name)
+        made.update(stage_columns(stage, "outputCol", "outputCols"))
+    return wanted
+
+
+def stage_columns(stage: Stage, *params: str) -> list[str]:
+    """Column names that the given parameters of a stage hold, if it has them."""
+    found: list[str] = []
+    for name in params:
+        if stage.hasParam(name) and stage.isDefined(stage.getParam(name)):
+            value = stage.getOrDefault(stage.getParam(name))
+            found += [value] if isinstance(value, str) else value
+    return found
+
+
 def train(
     df: DataFrame,
     algo: str,
     stages: Sequence[Stage] | None = None,
-    keep_features: bool = True,
+    keep: bool = True,
     **params,
 ) -> PipelineModel:
     """Features and model as one fitted pipeline; the features are fitted once.
 
-    ``keep_features`` stores the vectors (memory, then disk) while an iterative
-    model reads them again and again.
+    ``keep`` stores the few columns in use while the feature stages are fitted,
+    and the vectors while the model reads them again and again.
     """
     choose({**CLASSIFIERS, **REGRESSORS}, algo)
-    prepared = Pipeline(stages=list(stages or feature_stages())).fit(df)
+    stages = list(stages or feature_stages())
     label = CLASS_LABEL if algo in CLASSIFIERS else RATING
-    rows = prepared.transform(df).select(FEATURES, F.col(label).cast("double").alias(label))
-    if keep_features:
-        rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = make_model(algo, rows, **params).fit(rows)
-    finally:
-        if keep_features:
-            rows.unpersist()
+    columns = dict.fromkeys([*raw_inputs(stages), label])
+    with kept(df.select(*columns), keep) as source:
+        prepared = Pipeline(stages=stages).fit(source)
+        vectors = prepared.transform(source).select(FEATURES, F.col(label).cast("double").alias(label))
+        with kept(vectors, keep) as rows:
+            fitted = make_model(algo, rows, **params).fit(rows)
     return PipelineModel([*prepared.stages, fitted])
 
 

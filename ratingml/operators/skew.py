@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ratingml.storage import durable
 MAX_GROUP_ROWS = 5_000_000
 #: Most rows that a side may have to be broadcast by a hint.
 MAX_BROADCAST_ROWS = 500_000
+# numbers that rows without an open key are spread over
+_SPREAD = 1 << 20
 # monotonically_increasing_id puts the partition number above this many bits
 _PLACE_BITS = 33
 
@@ -34,10 +37,9 @@ def join(
 
     The optimizer broadcasts a side whose size is below its threshold, and
     adaptive execution splits skewed partitions of a sorted join. With
-    ``hot_rows`` the keys of ``left`` above that many rows are joined apart: the
-    matching part of ``right`` is broadcast if it has at most
-    ``MAX_BROADCAST_ROWS`` rows, so hot rows are not shuffled at all. A caller
-    that has counted the keys already gives the hot ones as ``known_hot``.
+    ``hot_rows`` the keys of ``left`` above that many rows are answered apart, see
+    ``_join_hot``. A caller that has counted the keys gives the hot ones as
+    ``known_hot``.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if hot_rows is None and known_hot is None:
@@ -51,12 +53,47 @@ def join(
     if n_hot == 0 or n_hot > MAX_BROADCAST_ROWS:
         return left.join(right, keys, how)
     hot = durable(hot)
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    if hot_right.count() > MAX_BROADCAST_ROWS:
+    matching = right.join(F.broadcast(hot), keys, "left_semi")
+    if matching.count() > MAX_BROADCAST_ROWS:
         return left.join(right, keys, how)
-    usual = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
-    heavy = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how)
-    return usual.unionByName(heavy)
+    return _join_hot(left, right, keys, how, hot, matching)
+
+
+def _join_hot(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: DataFrame, matching: DataFrame
+) -> DataFrame:
+    """Answer hot keys from a broadcast and the others by a usual join, in one pass over ``left``.
+
+    Rows with a hot or a null key take no key into the usual join, only a number
+    that spreads them, so they match nothing there and fill no single partition.
+    """
+    names = [c for c in right.columns if c not in keys]
+    found = F.struct(F.lit(True).alias("__found"), *names)
+    answers = hot.join(matching.select(*keys, found.alias("__row")), keys, "left")
+    answers = answers.select(*keys, F.struct("__row").alias("__hot"))
+    if how == "inner":
+        left = left.dropna(subset=keys)
+    tagged = left.join(F.broadcast(answers), keys, "left")
+    settled = F.col("__hot").isNotNull()
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys], settled)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(_SPREAD))
+    tagged = tagged.withColumn("__spread", F.when(no_key, spread).otherwise(F.lit(0)))
+    open_keys = [f"__open_{k}" for k in keys]
+    for k, name in zip(keys, open_keys):
+        tagged = tagged.withColumn(name, F.when(~settled, F.col(k)))
+    others = right.join(F.broadcast(hot), keys, "left_anti")
+    others = others.select(
+        *[F.col(k).alias(name) for k, name in zip(keys, open_keys)],
+        F.lit(0).cast("long").alias("__spread"),
+        found.alias("__cold"),
+    )
+    joined = tagged.join(others, [*open_keys, "__spread"], "left")
+    row = F.coalesce("__hot.__row", "__cold")
+    joined = joined.withColumn("__row", row)
+    if how == "inner":
+        joined = joined.filter(F.col("__row.__found"))
+    rest = [F.col(c) for c in left.columns if c not in keys]
+    return joined.select(*keys, *rest, *[F.col("__row").getField(c).alias(c) for c in names])
 
 
 def running_total(df: DataFrame, order: Sequence[Column], weight: Column | None, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, AtomicType
 
-from ratingml.functions import hash_text, hash_unit
+from ratingml.functions import hash_order, hash_unit
 from ratingml.operators.skew import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hot_keys, running_total
 from ratingml.storage import durable
 
@@ -80,13 +80,10 @@ def ranked_in_group(
         hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_ROWS else hot
         is_hot = F.col(group).eqNullSafe(F.col("__hot"))
         usual = df.join(hot, is_hot, "left_anti")
+    # places first: their sort order serves the count as well
     window = Window.partitionBy(group)
-    ranked = usual.withColumns(
-        {
-            "count": F.count(counted).over(window),
-            "place": F.row_number().over(window.orderBy(*order)).cast("long"),
-        }
-    )
+    ranked = usual.withColumn("place", F.row_number().over(window.orderBy(*order)).cast("long"))
+    ranked = ranked.withColumn("count", F.count(counted).over(window)).select(*df.columns, "count", "place")
     if n_hot:
         heavy = df.join(hot, is_hot, "left_semi")
         ranked = ranked.unionByName(_rank_heavy(heavy, group, order, counted, n_hot))
@@ -148,7 +145,7 @@ def stratified_parts(
     parts see the same draw.
     """
     if order == "hash":
-        return with_user_part(df, fraction, user_col, [hash_text(keys, seed)], count_col, max_group_rows)
+        return with_user_part(df, fraction, user_col, [hash_order(keys, seed)], count_col, max_group_rows)
     if order != "rand":
         raise ValueError("order must be 'hash' or 'rand'")
     drawn = durable(df.withColumn("__draw", F.rand(seed)))
