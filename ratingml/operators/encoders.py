@@ -156,17 +156,17 @@ class KeyIndexer(Estimator, _KeyIndexParams, DefaultParamsReadable, DefaultParam
         # one scan counts all columns: one grouping set for each
         counts = (
             dataset.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns])
-            .agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("n"))
+            .agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__n"))
             .filter(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
         )
         text = F.coalesce(*[F.col(c).cast("string") for c in columns])
         if order == "frequency":
-            ranks = [F.col("n").desc(), text.asc()]
+            ranks = [F.col("__n").desc(), text.asc()]
         else:
             ranks = [F.col(c).asc() for c in columns]
         numbered = number_rows(counts, [F.col("__set").asc(), *ranks], "__number")
         first = numbered.groupBy("__set").agg(F.min("__number").alias("__first"))
-        keys = numbered.join(F.broadcast(first), "__set").withColumn("index", F.col("__number") - F.col("__first"))
+        keys = numbered.join(F.broadcast(first), "__set").withColumn("__index", F.col("__number") - F.col("__first"))
         # grouping_id has a 0 bit for the column that is kept, first column highest
         width = len(columns)
         named = F.element_at(
@@ -179,7 +179,7 @@ class KeyIndexer(Estimator, _KeyIndexParams, DefaultParamsReadable, DefaultParam
             ),
             F.col("__set").cast("long"),
         )
-        table = keys.select(named.alias("column"), *columns, "n", "index")
+        table = keys.select(named.alias("__column"), *columns, "__n", "__index")
         return self._copyValues(KeyIndexModel(table))
 
 
@@ -192,11 +192,11 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
         self.table = table
 
     def keys_of(self, column: str) -> DataFrame:
-        """``(column, n, index)`` of one input column."""
-        return self.table.filter(F.col("column") == column).select(column, "n", "index")
+        """``(column, __n, __index)``: the keys of one input column, their rows and numbers."""
+        return self.table.filter(F.col("__column") == column).select(column, "__n", "__index")
 
     def _hot_columns(self, hot_rows: int) -> set[str]:
-        found = self.table.filter(F.col("n") > hot_rows).select("column").distinct()
+        found = self.table.filter(F.col("__n") > hot_rows).select("__column").distinct()
         return {row[0] for row in found.collect()}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -205,10 +205,10 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
         hot_columns = self._hot_columns(hot_rows)
         out = dataset
         for source, target in zip(self.getInputCols(), self.getOutputCols()):
-            keys = self.keys_of(source).withColumnRenamed("index", "__index")
+            keys = self.keys_of(source)
             how = "inner" if invalid == "skip" else "left"
-            hot = keys.filter(F.col("n") > hot_rows).select(source) if source in hot_columns else None
-            out = join_keys(out, keys.drop("n"), source, how, known_hot=hot)
+            hot = keys.filter(F.col("__n") > hot_rows).select(source) if source in hot_columns else None
+            out = join_keys(out, keys.drop("__n"), source, how, known_hot=hot)
             index = F.col("__index")
             if invalid == "error":
                 bad = F.raise_error(F.concat(F.lit(f"no index for {source}: "), F.col(source).cast("string")))

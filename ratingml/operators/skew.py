@@ -22,7 +22,7 @@ _PLACE_BITS = 33
 
 def hot_keys(df: DataFrame, keys: Sequence[str], above: int = MAX_GROUP_ROWS) -> DataFrame:
     """Keys with more than ``above`` rows; at most rows / ``above`` of them exist."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > above)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > above)
 
 
 def join(
