@@ -258,9 +258,12 @@ def index_in_place(df: DataFrame, columns: Sequence[str], order: str = "frequenc
 
 
 def mark_categorical(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Tell tree models that index columns are categories, with this many values each."""
+    """Tell tree models that index columns are categories, with this many values each.
+
+    The columns become doubles: the assembler reads the marks of doubles only.
+    """
     marked = {
-        c: F.col(c).alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": n}})
+        c: F.col(c).cast("double").alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": n}})
         for c, n in sizes.items()
     }
     return df.select(*[marked.get(c, F.col(c)) for c in df.columns])

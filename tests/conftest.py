@@ -32,11 +32,17 @@ def sf_dir():
 
 @pytest.fixture(scope="session")
 def signal_rows(spark, sf_dir):
-    """Cleaned rows with a planted signal and a class label, stored once."""
+    """Cleaned rows whose rating depends on item, type and user, with a class label, stored once."""
+    from pyspark.sql import functions as F
+
     from ratingml.operators.clean import process
-    from ratingml.plans.fixtures import signal
+    from ratingml.plans.fixtures import joined
 
-    rows = process(signal(spark, sf_dir)).persist()
+    rows = joined(spark, sf_dir).withColumn("web_rating", F.col("web_rating") * 5)
+    base = F.floor(F.coalesce("web_rating", F.lit(5.0))) + F.col("user_id") % 3 - 1
+    planted = base + F.when(F.col("type") == "PROMO", 3).otherwise(0)
+    rows = rows.withColumn("rating", F.least(F.lit(10), F.greatest(F.lit(1), planted)).cast("int"))
+    rows = process(rows).persist()
     rows.count()
     return rows
 
