@@ -165,21 +165,12 @@ class KeyIndexer(Estimator, _KeyIndexParams, DefaultParamsReadable, DefaultParam
         else:
             ranks = [F.col(c).asc() for c in columns]
         numbered = number_rows(counts, [F.col("__set").asc(), *ranks], "__number")
-        first = numbered.groupBy("__set").agg(F.min("__number").alias("__first"))
-        keys = numbered.join(F.broadcast(first), "__set").withColumn("__index", F.col("__number") - F.col("__first"))
-        # grouping_id has a 0 bit for the column that is kept, first column highest
-        width = len(columns)
-        named = F.element_at(
-            F.create_map(
-                *[
-                    x
-                    for i, c in enumerate(columns)
-                    for x in (F.lit(((1 << width) - 1) ^ (1 << (width - 1 - i))).cast("long"), F.lit(c))
-                ]
-            ),
-            F.col("__set").cast("long"),
-        )
-        table = keys.select(named.alias("__column"), *columns, "__n", "__index")
+        # one first number per column
+        firsts = numbered.groupBy("__set").agg(F.min("__number")).collect()
+        first = F.lit(0).cast("long")
+        for key_set, number in firsts:
+            first = F.when(F.col("__set") == key_set, F.lit(number)).otherwise(first)
+        table = numbered.withColumn("__index", F.col("__number") - first).drop("__number")
         return self._copyValues(KeyIndexModel(table))
 
 
@@ -193,11 +184,15 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
 
     def keys_of(self, column: str) -> DataFrame:
         """``(column, __n, __index)``: the keys of one input column, their rows and numbers."""
-        return self.table.filter(F.col("__column") == column).select(column, "__n", "__index")
+        # grouping_id has a 0 bit for the column of the grouping set, the first column highest
+        columns = self.getInputCols()
+        key_set = ((1 << len(columns)) - 1) ^ (1 << (len(columns) - 1 - columns.index(column)))
+        return self.table.filter(F.col("__set") == key_set).select(column, "__n", "__index")
 
     def _hot_columns(self, hot_rows: int) -> set[str]:
-        found = self.table.filter(F.col("__n") > hot_rows).select("__column").distinct()
-        return {row[0] for row in found.collect()}
+        heavy = [F.max(F.when(F.col(c).isNotNull(), F.col("__n"))) for c in self.getInputCols()]
+        most = self.table.agg(*heavy).first()
+        return {c for c, n in zip(self.getInputCols(), most) if n is not None and n > hot_rows}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         invalid = self.getOrDefault(self.handleInvalid)

@@ -101,29 +101,29 @@ def running_total(df: DataFrame, order: Sequence[Column], weight: Column | None,
 
     The rows are range-partitioned and sorted, so a large group is spread over
     many tasks. The sorted rows are written once with their place, because the
-    range bounds come from a sample and must not be drawn again.
-    ``weight=None`` counts rows and needs no further shuffle.
+    range bounds come from a sample and must not be drawn again. Only one total
+    per sort partition reaches the driver. ``weight=None`` counts rows and needs
+    no further shuffle.
     """
     placed = df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id())
     if weight is not None:
         placed = placed.withColumn("__weight", weight.cast("long"))
     placed = durable(placed).withColumn("__part", F.shiftright("__place", _PLACE_BITS))
     size = F.count(F.lit(1)) if weight is None else F.sum("__weight")
-    # one row per sort partition
-    starts = placed.groupBy("__part").agg(size.alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    sizes = dict(placed.groupBy("__part").agg(size).collect())
+    starts, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    # one constant array, so that no join is needed and the table keeps its known size
+    known = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<long>")
+    start = F.element_at(known, F.col("__part").cast("int") + 1)
     if weight is None:
         inside = F.col("__place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     else:
         earlier = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
         inside = F.coalesce(F.sum("__weight").over(earlier), F.lit(0))
-    placed = placed.withColumn("__inside", inside)
-    return (
-        placed.join(F.broadcast(starts), "__part")
-        .withColumn(name, F.col("__start") + F.col("__inside"))
-        .drop("__part", "__place", "__weight", "__start", "__inside")
-    )
+    return placed.withColumn(name, start + inside).drop("__part", "__place", "__weight")
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ratingml.operators import clean, encoders, features, metrics, models, scori
 from ratingml.plans.evaluate import evaluate_holdout
 from ratingml.plans.fixtures import items, joined, signal
 from ratingml.plans.registry import query
-from ratingml.plans.table_queries import HASH_UNIT_SQL
+from ratingml.plans.table_queries import HASH_UNIT_SQL, RATIO_SQL
 from ratingml.sources import models as model_files
 from ratingml.sources import tables
 from ratingml.storage import scratch_path
@@ -137,11 +138,8 @@ def ranked_search(spark, sf_dir):
     stages = features.feature_stages(text=None)
     vectors = Pipeline(stages=stages).fit(rows).transform(rows).select(features.FEATURES, "rating")
     estimator, evaluator = models.linear(), metrics.regression_evaluator()
-    vectors = vectors.persist()
-    try:
-        fitted = tuning.search(vectors, estimator, evaluator, tuning.default_grid("glr", estimator))
-    finally:
-        vectors.unpersist()
+    with models.kept(vectors) as stored:
+        fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid("glr", estimator))
     return tuning.ranking(spark, fitted, evaluator)
 
 
@@ -280,3 +278,125 @@ def score_stream(spark, sf_dir):
 def tree_dump(spark, sf_dir):
     train_rows, _ = _matrix(spark, sf_dir)
     return model_files.tree_dump(spark, models.boosted_small().fit(train_rows))
+
+
+# ---------------------------------------------------------------- models that SQL can repeat
+
+
+def _promo_rows(rows: DataFrame) -> DataFrame:
+    """One 0/1 feature, so that a one-split tree has the group means as its answers."""
+    flagged = rows.withColumn("promo", F.coalesce((F.col("type") == "PROMO").cast("double"), F.lit(0.0)))
+    return features.assemble(["promo"], features.FEATURES).transform(flagged)
+
+
+PROMO_SQL = "CAST(coalesce(type = 'PROMO', false) AS INT)"
+
+
+@query(
+    "mod3_boosted_stump",
+    f"""SELECT user_id, item_id, round(avg(rating) OVER (PARTITION BY {PROMO_SQL}), 6) AS pred FROM joined""",
+)
+def boosted_stump(spark, sf_dir):
+    """Boosted trees of one round and one split predict the mean of each side."""
+    rows = _promo_rows(joined(spark, sf_dir)).select(*PAIR, "rating", features.FEATURES)
+    fitted = models.boosted(maxDepth=1, maxIter=1, subsamplingRate=1.0).fit(rows)
+    return fitted.transform(rows).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "mod9_rounds_of_boosted_stump",
+    f"""SELECT round(sqrt(avg(power(p - rating, 2))), 6) AS rmse,
+               round(sqrt(avg(power(ln(1 + p) - ln(1 + rating), 2))), 6) AS rmsle
+        FROM (SELECT rating, avg(rating) OVER (PARTITION BY {PROMO_SQL}) AS p FROM joined) x""",
+)
+def rounds_of_boosted_stump(spark, sf_dir):
+    rows = _promo_rows(joined(spark, sf_dir)).select("rating", features.FEATURES)
+    fitted = models.boosted(maxDepth=1, maxIter=1, subsamplingRate=1.0).fit(rows)
+    found = models.round_metrics(fitted, {"train": rows}, "rating")
+    return found.select(F.round("rmse", 6).alias("rmse"), F.round("rmsle", 6).alias("rmsle"))
+
+
+@query(
+    "mod2_sco5_single_tree_probabilities",
+    f"""SELECT user_id, item_id,
+               round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_0,
+               round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_1,
+               round(avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_2
+        FROM labelled""",
+)
+def single_tree_probabilities(spark, sf_dir):
+    """A forest of one tree with one split, on all rows, gives the class shares of each side."""
+    rows = clean.add_label(_promo_rows(joined(spark, sf_dir)))
+    fitted = models.random_forest(numTrees=1, maxDepth=1, bootstrap=False).fit(rows.select(features.FEATURES, "label"))
+    scored = scoring.class_output(fitted.transform(rows), PAIR).drop("pred")
+    return scored.select(*PAIR, *[F.round(f"prob_{i}", 6).alias(f"prob_{i}") for i in range(3)])
+
+
+@query(
+    "eva1_holdout_score_of_one_feature",
+    f""", parts AS (
+          SELECT *, {RATIO_SQL} AS ratio FROM signal WHERE web_rating IS NOT NULL)
+        SELECT count(*) AS n_test, round(sqrt(avg(power(a + b * web_rating - rating, 2))), 6) AS holdout
+        FROM (SELECT regr_intercept(rating, web_rating) AS a, regr_slope(rating, web_rating) AS b
+              FROM parts WHERE ratio <= 0.8) m, parts
+        WHERE ratio > 0.8""",
+)
+def holdout_score_of_one_feature(spark, sf_dir):
+    """Split per user, fit on train, score on test: the whole evaluation, with a model that SQL can fit."""
+    rows = clean.complete_rows(signal(spark, sf_dir).select(*PAIR, "rating", "web_rating"))
+    stages = [features.assemble(["web_rating"], features.FEATURES)]
+    report = evaluate_holdout(rows, "glr", grid={"regParam": [0.0]}, stages=stages, seed=42)
+    n_test = splits.stratified_parts(rows, 0.8, seed=42).agg(F.count_if(F.col("part") == "test").alias("n_test"))
+    score = report.summary.first()["holdout"]
+    return n_test.withColumn("holdout", F.round(F.lit(score), 6))
+
+
+@query(
+    "fea21_feature_vector_without_text",
+    """SELECT user_id, item_id, """
+    + ", ".join(f"CAST(slot = {i} AS DOUBLE) AS f{i}" for i in range(5))
+    + ", "
+    + ", ".join(
+        f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS f{5 + i}"
+        for i, c in enumerate(features.NUMERIC)
+    )
+    + """ FROM (SELECT * FROM joined WHERE genre IS NOT NULL AND type IS NOT NULL AND episodes IS NOT NULL
+                AND web_rating IS NOT NULL) j
+          JOIN (SELECT type, row_number() OVER (ORDER BY n DESC, type) - 1 AS slot
+                FROM (SELECT type, count(*) AS n FROM joined WHERE genre IS NOT NULL AND type IS NOT NULL
+                      AND episodes IS NOT NULL AND web_rating IS NOT NULL GROUP BY type) c) t
+          ON j.type = t.type""",
+)
+def feature_vector_without_text(spark, sf_dir):
+    """One-hot type and scaled numbers in one vector, from complete rows."""
+    rows = clean.process(joined(spark, sf_dir), filter_na=True)
+    fitted = Pipeline(stages=features.feature_stages(text=None)).fit(rows)
+    values = vector_to_array(features.FEATURES)
+    vectors = fitted.transform(rows)
+    return vectors.select(*PAIR, *[F.round(values[i], 6).alias(f"f{i}") for i in range(8)])
+
+
+@query("tun2_perceptron_search")
+def perceptron_search(spark, sf_dir):
+    """Both layer sets of the grid, at its smallest number of rounds."""
+    rows = _labelled(spark, sf_dir)
+    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
+    vectors = vectors.select(features.FEATURES, "label")
+    estimator = models.make_model("mlp", vectors)
+    evaluator = metrics.classification_evaluator()
+    layers = [[estimator.getLayers()[0], *hidden, 3] for hidden in tuning.MLP_HIDDEN]
+    with models.kept(vectors) as stored:
+        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, {"layers": layers}))
+    return tuning.ranking(spark, fitted, evaluator)
+
+
+@query("tun4_boosted_search")
+def boosted_search(spark, sf_dir):
+    """The step sizes and sampling rates of the grid, at its smallest depth."""
+    rows = _labelled(spark, sf_dir)
+    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
+    estimator, evaluator = models.boosted(), metrics.regression_evaluator()
+    values = {k: tuning.GRIDS["gbdt"][k] for k in ("stepSize", "subsamplingRate")}
+    with models.kept(vectors.select(features.FEATURES, "rating")) as stored:
+        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, values))
+    return tuning.ranking(spark, fitted, evaluator)
