@@ -318,17 +318,23 @@ def rounds_of_boosted_stump(spark, sf_dir):
 
 @query(
     "mod2_sco5_single_tree_probabilities",
-    f"""SELECT user_id, item_id,
-               round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_0,
-               round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_1,
-               round(avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {PROMO_SQL}), 6) AS prob_2
-        FROM labelled""",
+    "SELECT user_id, item_id, "
+    + ", ".join(
+        f"round(avg(CASE WHEN label = {i} THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY high), 6) AS prob_{i}" for i in range(3)
+    )
+    + """ FROM (SELECT user_id, item_id, coalesce(web_rating >= 8, false) AS high,
+                      CASE WHEN rating >= 9 THEN 2 WHEN rating >= 6 THEN 1 ELSE 0 END AS label FROM signal) s""",
 )
 def single_tree_probabilities(spark, sf_dir):
-    """A forest of one tree with one split, on all rows, gives the class shares of each side."""
-    rows = clean.add_label(_promo_rows(joined(spark, sf_dir)))
+    """A forest of one tree with one split, on all rows, gives the class shares of each side.
+
+    (Sides with the same class would be merged, so the flag must tell classes apart.)
+    """
+    rows = clean.add_label(signal(spark, sf_dir))
+    rows = rows.withColumn("high", F.coalesce((F.col("web_rating") >= 8).cast("double"), F.lit(0.0)))
+    rows = features.assemble(["high"], features.FEATURES).transform(rows)
     fitted = models.random_forest(numTrees=1, maxDepth=1, bootstrap=False).fit(rows.select(features.FEATURES, "label"))
-    scored = scoring.class_output(fitted.transform(rows), PAIR).drop("pred")
+    scored = scoring.class_output(fitted.transform(rows), PAIR)
     return scored.select(*PAIR, *[F.round(f"prob_{i}", 6).alias(f"prob_{i}") for i in range(3)])
 
 
