@@ -206,7 +206,8 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
             out = join_keys(out, keys.drop("__n"), source, how, known_hot=hot)
             index = F.col("__index")
             if invalid == "error":
-                bad = F.raise_error(F.concat(F.lit(f"no index for {source}: "), F.col(source).cast("string")))
+                text = F.coalesce(F.col(source).cast("string"), F.lit("null"))
+                bad = F.raise_error(F.concat(F.lit(f"no index for {source}: "), text))
                 index = F.when(index.isNotNull(), index).otherwise(bad.cast("long"))
             rest = [c for c in out.columns if c not in ("__index", target)]
             out = out.select(*rest, index.cast("int").alias(target))

@@ -104,9 +104,15 @@ def expand_items(items: DataFrame, name_vectors: DataFrame | None = None, key: s
     return out.drop("name", "genre", "type")
 
 
-def merge_item_features(ratings: DataFrame, item_features: DataFrame, key: str = "item_id", user: str = "user_id") -> DataFrame:
+def merge_item_features(
+    ratings: DataFrame,
+    item_features: DataFrame,
+    key: str = "item_id",
+    user: str = "user_id",
+    hot_rows: int | None = None,
+) -> DataFrame:
     """Ratings with their item's features; ids dropped and the label first."""
-    merged = join_items(ratings, item_features, key)
+    merged = join_items(ratings, item_features, key, hot_rows)
     rest = [F.col(f"`{c}`") for c in merged.columns if c not in (key, user, "rating")]
     return merged.select("rating", *rest)
 
@@ -116,13 +122,14 @@ def ordinal_rows(
     items: DataFrame,
     whole_row: bool = False,
     indexed: Sequence[str] = ("user_id", "item_id", "type"),
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Rated rows with item columns, text ``episodes`` made a number and ids made sorted ranks.
 
     Null types stay null. The user's ``rating`` is the label and is kept as it
     was, also for rows that ``whole_row=True`` sets to zero.
     """
-    joined = join_items(drop_unrated(ratings), items.drop("name", "genre"))
+    joined = join_items(drop_unrated(ratings), items.drop("name", "genre"), hot_rows=hot_rows)
     numbers = sentinel_to_number(
         joined, "episodes_raw", whole_row=whole_row, keep=["rating"], output="episodes"
     ).drop("episodes_raw")

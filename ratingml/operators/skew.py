@@ -49,10 +49,10 @@ def join(
     hot = known_hot
     if hot is None:
         hot = hot_keys(left.dropna(subset=keys), keys, hot_rows).select(*keys)
+    hot = durable(hot)
     n_hot = hot.count()
     if n_hot == 0 or n_hot > MAX_BROADCAST_ROWS:
         return left.join(right, keys, how)
-    hot = durable(hot)
     matching = right.join(F.broadcast(hot), keys, "left_semi")
     if matching.count() > MAX_BROADCAST_ROWS:
         return left.join(right, keys, how)

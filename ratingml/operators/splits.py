@@ -72,11 +72,10 @@ def ranked_in_group(
     across partitions, and running weights give the places.
     """
     counted = F.lit(1) if count_col is None else F.col(count_col)
-    hot = hot_keys(df, [group], max_group_rows).select(F.col(group).alias("__hot"))
+    hot = durable(hot_keys(df, [group], max_group_rows).select(F.col(group).alias("__hot")))
     n_hot = hot.count()
     usual = df
     if n_hot:
-        hot = durable(hot)
         hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_ROWS else hot
         is_hot = F.col(group).eqNullSafe(F.col("__hot"))
         usual = df.join(hot, is_hot, "left_anti")

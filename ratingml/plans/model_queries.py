@@ -396,6 +396,18 @@ def perceptron_search(spark, sf_dir):
     return tuning.ranking(spark, fitted, evaluator)
 
 
+@query("tun3_forest_search")
+def forest_search(spark, sf_dir):
+    """The feature subsets of the grid, at its smallest forest."""
+    rows = _labelled(spark, sf_dir)
+    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
+    estimator, evaluator = models.random_forest(numTrees=20), metrics.classification_evaluator()
+    values = {"featureSubsetStrategy": tuning.GRIDS["rf"]["featureSubsetStrategy"]}
+    with models.kept(vectors.select(features.FEATURES, "label")) as stored:
+        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, values))
+    return tuning.ranking(spark, fitted, evaluator)
+
+
 @query("tun4_boosted_search")
 def boosted_search(spark, sf_dir):
     """The step sizes and sampling rates of the grid, at its smallest depth."""

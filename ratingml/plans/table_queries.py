@@ -472,7 +472,7 @@ def first_rows(spark, sf_dir):
 
 
 @query(
-    "fun_text_functions",
+    "fun1_fun2_fun3_fun4_fun7_fun11_text",
     """SELECT item_id, lower(genre) AS lowered, regexp_replace(genre, '\\s+', '', 'g') AS no_space,
               trim(genre) AS trimmed, CAST(len(string_split(genre, ',')) AS DOUBLE) AS n_values, genre IS NULL AS is_missing
        FROM items""",
@@ -492,7 +492,7 @@ def text_functions(spark, sf_dir):
 
 
 @query(
-    "fun_compact_text",
+    "fun1_fun2_fun4_compact_text",
     """SELECT item_id, lower(regexp_replace(trim(genre), '\\s+', '', 'g')) AS compacted FROM items""",
 )
 def compact_text(spark, sf_dir):

@@ -9,19 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster it must be configured as ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder.
+    On a cluster it must be set. Only a local master may fall back to a temporary
+    folder, which the session then remembers.
     """
     context = spark.sparkContext
-    known = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if known is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="ratingml-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(known)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ratingml-"))
+        known = context.getCheckpointDir()
     return known
 
 
