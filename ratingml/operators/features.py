@@ -43,7 +43,7 @@ def assemble_positional(df: DataFrame, label: str = "label", output: str = "feat
     return assemble_all_but(df, label, output, "error").select(output, label)
 
 
-def scaler(inputs: str = "unscaled_continuous_features", output: str = "scaled_continuous_features") -> StandardScaler:
+def scaler(inputs: str = "numbers", output: str = "scaled_numbers") -> StandardScaler:
     """Mean 0 and sample standard deviation 1; a constant column becomes 0."""
     return StandardScaler(inputCol=inputs, outputCol=output, withMean=True, withStd=True)
 
@@ -61,14 +61,14 @@ def feature_stages(
     stages: list[Stage] = []
     parts = []
     if numeric:
-        stages += [assemble(numeric, "unscaled_continuous_features"), scaler()]
+        stages += [assemble(numeric, "numbers"), scaler()]
     if categorical:
         indexes = [f"{c}_index" for c in categorical]
         vectors = [f"{c}_one_hot" for c in categorical]
         stages += [frequency_indexer(categorical, indexes), one_hot_vectors(indexes, vectors)]
         parts += vectors
     if numeric:
-        parts.append("scaled_continuous_features")
+        parts.append("scaled_numbers")
     if text:
         stages += [
             split_tokenizer(text),

@@ -119,7 +119,11 @@ def with_user_part(
     count_col: str | None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add ``count``, ``ratio`` and ``part`` (``train``, ``test`` or null) in one pass."""
+    """Add ``count``, ``ratio`` and ``part`` (``train``, ``test`` or null) in one pass.
+
+    Columns of these names, as an earlier split leaves them, are replaced.
+    """
+    df = df.drop("count", "ratio", "part")
     # the remaining columns settle ties, so two reads of the plan agree
     total_order = [*order, *[F.col(c).asc() for c in _sortable(df) if c != user_col]]
     ranked = ranked_in_group(df, user_col, total_order, count_col, max_group_rows).drop("place")

@@ -96,3 +96,11 @@ def test_drawn_order_and_random_split_cover(spark):
 def test_empty_table(spark):
     train, test = splits.stratified_split(_frame(spark, []), 0.8)
     assert train.count() == test.count() == 0
+
+
+def test_a_part_can_be_split_again(spark):
+    df = _frame(spark, [(u, i, i) for u in range(3) for i in range(25)])
+    train, _ = splits.stratified_split(df, 0.8)
+    again, validation = splits.stratified_split(train, 0.5)
+    assert again.columns == train.columns
+    assert (train.count(), again.count(), validation.count()) == (60, 30, 30)
