@@ -27,49 +27,33 @@ PREDICTION = "pred"
 PROBABILITY = "prob"
 SEED = 2020
 
+_CLASS_COLUMNS = dict(
+    featuresCol=FEATURES, labelCol=CLASS_LABEL, predictionCol=PREDICTION, probabilityCol=PROBABILITY
+)
+_RATING_COLUMNS = dict(featuresCol=FEATURES, labelCol=RATING, predictionCol=PREDICTION)
+
 
 def mlp(size: int, hidden: Sequence[int] = (40, 10), classes: int = 3, seed: int = SEED, **params):
     """Perceptron. The step size acts with ``solver="gd"`` only, not with the default solver."""
-    settings = dict(stepSize=0.01, maxIter=10)
-    return MultilayerPerceptronClassifier(
-        featuresCol=FEATURES,
-        labelCol=CLASS_LABEL,
-        predictionCol=PREDICTION,
-        probabilityCol=PROBABILITY,
-        layers=[size, *hidden, classes],
-        seed=seed,
-        **{**settings, **params},
-    )
+    settings = dict(**_CLASS_COLUMNS, layers=[size, *hidden, classes], stepSize=0.01, maxIter=10)
+    return MultilayerPerceptronClassifier(seed=seed, **{**settings, **params})
 
 
 def random_forest(seed: int = SEED, **params):
-    settings = dict(featureSubsetStrategy="auto", maxDepth=3, numTrees=100, subsamplingRate=1.0)
-    return RandomForestClassifier(
-        featuresCol=FEATURES,
-        labelCol=CLASS_LABEL,
-        predictionCol=PREDICTION,
-        probabilityCol=PROBABILITY,
-        seed=seed,
-        **{**settings, **params},
-    )
+    settings = dict(**_CLASS_COLUMNS, featureSubsetStrategy="auto", maxDepth=3, numTrees=100, subsamplingRate=1.0)
+    return RandomForestClassifier(seed=seed, **{**settings, **params})
 
 
 def boosted(seed: int = SEED, **params):
     settings = dict(
-        featuresCol=FEATURES,
-        labelCol=RATING,
-        featureSubsetStrategy="auto",
-        maxDepth=3,
-        maxIter=5,
-        stepSize=0.1,
-        subsamplingRate=0.8,
+        **_RATING_COLUMNS, featureSubsetStrategy="auto", maxDepth=3, maxIter=5, stepSize=0.1, subsamplingRate=0.8
     )
-    return GBTRegressor(predictionCol=PREDICTION, seed=seed, **{**settings, **params})
+    return GBTRegressor(seed=seed, **{**settings, **params})
 
 
 def linear(**params):
-    settings = dict(featuresCol=FEATURES, labelCol=RATING, family="gaussian", link="identity", regParam=0.0)
-    return GeneralizedLinearRegression(predictionCol=PREDICTION, **{**settings, **params})
+    settings = dict(**_RATING_COLUMNS, family="gaussian", link="identity", regParam=0.0)
+    return GeneralizedLinearRegression(**{**settings, **params})
 
 
 def boosted_rounds(seed: int = SEED, **params):

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingml.operators import clean, encoders, features, metrics, models, scoring, splits, tuning
+from ratingml.operators import clean, encoders, features, metrics, models, scoring, splits, text, tuning
 from ratingml.plans.evaluate import evaluate_holdout
 from ratingml.plans.fixtures import items, joined, signal
 from ratingml.plans.registry import query
@@ -418,3 +418,63 @@ def boosted_search(spark, sf_dir):
     with models.kept(vectors.select(features.FEATURES, "rating")) as stored:
         fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, values))
     return tuning.ranking(spark, fitted, evaluator)
+
+
+@query(
+    "mod5_mod6_boosted_on_one_flag",
+    f"""SELECT user_id, item_id, round(avg(rating) OVER (PARTITION BY {PROMO_SQL}), 6) AS pred_20_rounds,
+               round(avg(rating) OVER (PARTITION BY {PROMO_SQL}), 6) AS pred_5_rounds FROM joined""",
+)
+def boosted_on_one_flag(spark, sf_dir):
+    """With one flag the first round finds the means of both sides, and later rounds add nothing."""
+    rows = _promo_rows(joined(spark, sf_dir)).select(*PAIR, "rating", F.col(features.FEATURES).alias("feature"))
+    labelled = rows.withColumnRenamed("rating", "label")
+    with models.kept(labelled) as stored:
+        large = models.boosted_rounds(predictionCol="pred_20_rounds").fit(stored)
+        small = models.boosted_small(predictionCol="pred_5_rounds").fit(stored)
+    scored = small.transform(large.transform(labelled))
+    return scored.select(*PAIR, *[F.round(c, 6).alias(c) for c in ("pred_20_rounds", "pred_5_rounds")])
+
+
+@query(
+    "mod9_rounds_on_one_flag",
+    f"""SELECT r AS "round", rmse, rmsle FROM (
+          SELECT round(sqrt(avg(power(p - rating, 2))), 6) AS rmse,
+                 round(sqrt(avg(power(ln(1 + p) - ln(1 + rating), 2))), 6) AS rmsle
+          FROM (SELECT rating, avg(rating) OVER (PARTITION BY {PROMO_SQL}) AS p FROM joined) x) m,
+          (VALUES (1), (2), (3), (4), (5)) v(r)""",
+)
+def rounds_on_one_flag(spark, sf_dir):
+    rows = _promo_rows(joined(spark, sf_dir))
+    rows = rows.select(F.col("rating").alias("label"), F.col(features.FEATURES).alias("feature"))
+    with models.kept(rows) as stored:
+        fitted = models.boosted_small().fit(stored)
+        found = models.round_metrics(fitted, {"train": stored}, "label")
+        return found.select("round", F.round("rmse", 6).alias("rmse"), F.round("rmsle", 6).alias("rmsle"))
+
+
+@query(
+    "mod7_boosted_on_one_category",
+    """SELECT user_id, item_id, round(avg(rating) OVER (PARTITION BY type), 6) AS pred FROM joined
+       WHERE type IS NOT NULL""",
+)
+def boosted_on_one_category(spark, sf_dir):
+    """Deep enough trees on the type alone predict the mean of each type."""
+    rows = joined(spark, sf_dir).select(*PAIR, "type", "rating")
+    indexed = encoders.mark_categorical(encoders.index_in_place(rows, ["type"]), {"type": 6})
+    vectors = features.assemble(["type"], "feature", invalid="skip").transform(indexed)
+    fitted = models.boosted_leafwise(max_categories=6).fit(vectors.select("feature", "rating"))
+    return fitted.transform(vectors).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "fea5_one_vector_per_name",
+    """SELECT name, count(*) AS n, CAST(1 AS BIGINT) AS n_vectors, CAST(20 AS INT) AS size FROM joined GROUP BY name""",
+)
+def one_vector_per_name(spark, sf_dir):
+    """Rows of one name get one vector of 20 numbers, in whatever task they are."""
+    tokens = text.split_tokenizer().transform(joined(spark, sf_dir).select("name"))
+    vectors = text.word_vectors().fit(tokens).transform(tokens).select("name", vector_to_array("word_vectors").alias("v"))
+    return vectors.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("n_vectors"), F.max(F.size("v")).alias("size")
+    )
