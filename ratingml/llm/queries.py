@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingml.llm import quality_hosts, url_filter
+from ratingml.llm import fm_decontam, quality_hosts, toxicity_fm, url_filter
 from ratingml.llm.common import UPPER, table
 from ratingml.llm.registry import query
 
@@ -94,3 +94,61 @@ def op3_bloom_cascade_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_hosts.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@query("op1_factorization_toxicity")
+def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_fm.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity_fm.scored(docs, model)
+    return rows.select(
+        "doc_id",
+        toxicity_fm.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        toxicity_fm.predicted(F.col("score")).alias("predicted"),
+    )
+
+
+@query(
+    "op7_fm_index_decontamination",
+    f"""
+    WITH doc_words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+    ),
+    item_words AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+    ),
+    windows AS (
+      SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS w
+      FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM item_words WHERE len(words) > 0) x
+    ),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    places AS (
+      SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS w
+      FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM doc_words, lengths WHERE len(words) >= n) x
+    ),
+    found AS (SELECT DISTINCT doc_id, n, i, item_id FROM places JOIN windows USING (n, w)),
+    hit AS (
+      SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) x GROUP BY doc_id
+    ),
+    items AS (
+      SELECT doc_id, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM found GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_decontam.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
