@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingml.llm import fm_decontam, quality_hosts, toxicity_fm, url_filter
+from ratingml.llm import fm_decontam, pii_surrogates, quality_hosts, toxicity_fm, unigram_pieces, url_filter
 from ratingml.llm.common import UPPER, table
 from ratingml.llm.registry import query
 
@@ -152,3 +153,25 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+#: A fixed key keeps the query repeatable; a user passes a secret of their own.
+PII_KEY = "surrogate-key-of-the-registered-query"
+
+
+@query("op9_pii_surrogates")
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replaced(docs, PII_KEY, count_col="n_entities")
+
+
+@query("op10_unigram_pieces")
+def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = unigram_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = unigram_pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, with_decoded=True)
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
