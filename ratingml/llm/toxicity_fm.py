@@ -33,16 +33,20 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 20
 RANK = 4
-MAX_ROWS = 20_000
+MAX_ROWS = 8_000
 MIN_ROWS = 4
-EPOCHS = 12
+#: Standard deviations by which a term's share of toxic rows must differ from that of all rows.
+MIN_DEVIATION = 4.0
+EPOCHS = 150
 BATCH = 256
-RATE = 0.1
-L2 = 1e-5
+RATE = 0.3
+L1 = 2e-5
 THRESHOLD = 0.7
 #: Tokens whose terms a scoring process remembers.
 REMEMBERED = 400_000
 
+#: Keep the buckets of stems apart from those of words.
+_STEM_4, _STEM_5 = 0x9E3779B9, 0x7F4A7C15
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -57,10 +61,15 @@ class Model(NamedTuple):
 
 def terms(token: str) -> list[int]:
     """Buckets of the words in a token and of their stems."""
+    lower = token.lower()
     found = []
-    for word in _WORD.findall(token.lower()):
-        for term in {"w" + word, "s" + word[:4] if len(word) > 4 else "", "s" + word[:5] if len(word) > 5 else ""} - {""}:
-            found.append(zlib.crc32(term.encode()) % BUCKETS)
+    for word in (lower,) if lower.isalpha() else _WORD.findall(lower):
+        if len(word) < 5:
+            found.append(zlib.crc32(word.encode()) % BUCKETS)
+        else:
+            four = zlib.crc32(word[:4].encode())
+            five = zlib.crc32(word[4].encode(), four)
+            found += [(four ^ _STEM_4) % BUCKETS, (five ^ _STEM_5) % BUCKETS, zlib.crc32(word[5:].encode(), five) % BUCKETS]
     return found
 
 
@@ -82,7 +91,7 @@ class _Remembered(dict):
 
 
 def _set_of(text: str | None, known: _Remembered) -> np.ndarray:
-    rows = {r for token in set((text or "").split()) for r in known[token]}
+    rows = set().union(*filter(None, map(known.__getitem__, set((text or "").split()))))
     return np.fromiter(sorted(rows), np.int32, len(rows))
 
 
@@ -92,47 +101,61 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def learn(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adaptive gradient steps on the logistic loss, in one fixed order per epoch."""
+    """Adaptive gradient steps on the logistic loss with a soft threshold, in one fixed order per epoch."""
     n = len(sets)
-    seen, counts = np.unique(np.concatenate(sets) if n else np.zeros(0, np.int32), return_counts=True)
-    buckets = seen[counts >= MIN_ROWS]
-    m = len(buckets)
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(m), rng.normal(0, 0.01, (m, RANK))
     share = float(labels.mean()) if n else 0.0
     bias = math.log(share / (1 - share)) if 0 < share < 1 else -1.0
-    if m == 0 or not 0 < share < 1:
+    lengths = np.array([len(x) for x in sets], np.int64)
+    terms_of = np.concatenate(sets).astype(np.int64) if n else np.zeros(0, np.int64)
+    seen, place, counts = np.unique(terms_of, return_inverse=True, return_counts=True)
+    # terms that toxic and clean rows hold equally often say nothing
+    toxic = np.bincount(place, np.repeat(labels, lengths), len(seen))
+    spread = np.sqrt(counts * share * (1 - share))
+    telling = (counts >= MIN_ROWS) & (np.abs(toxic - share * counts) >= MIN_DEVIATION * spread) & (0 < share < 1)
+    buckets, m = seen[telling].astype(np.int32), int(telling.sum())
+    rng = np.random.default_rng(seed)
+    w, v = np.zeros(m), rng.normal(0, 0.01, (m, RANK))
+    if m == 0:
         return Model(bias, buckets, w, v)
-    rows = []
-    for s in sets:
-        at = np.searchsorted(buckets, s)
-        at[at == m] = 0
-        rows.append(at[buckets[at] == s])
+    # rare terms weigh more than words of every text
+    value = np.log((n + 1) / counts[telling]) / math.log(n + 1)
+    row_of = np.full(len(seen), -1, np.int64)
+    row_of[telling] = np.arange(m)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    known = row_of[place]
+    rows = [own[own >= 0] for own in (known[ends[i] : ends[i + 1]] for i in range(n))]
     sums_w, sums_v, sum_b = np.full(m, 1e-2), np.full((m, RANK), 1e-2), 1e-2
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for start in range(0, n, BATCH):
             chosen = order[start : start + BATCH]
-            lengths = np.array([len(rows[i]) for i in chosen])
             at = np.concatenate([rows[i] for i in chosen])
-            doc = np.repeat(np.arange(len(chosen)), lengths)
-            total = np.stack([np.bincount(doc, v[at, f], len(chosen)) for f in range(RANK)], 1)
-            squares = np.bincount(doc, (v[at] ** 2).sum(1), len(chosen))
-            z = bias + np.bincount(doc, w[at], len(chosen)) + 0.5 * ((total**2).sum(1) - squares)
+            doc = np.repeat(np.arange(len(chosen)), [len(rows[i]) for i in chosen])
+            x = value[at]
+            own = v[at] * x[:, None]
+            total = np.stack([np.bincount(doc, own[:, f], len(chosen)) for f in range(RANK)], 1)
+            squares = np.bincount(doc, (own**2).sum(1), len(chosen))
+            z = bias + np.bincount(doc, w[at] * x, len(chosen)) + 0.5 * ((total**2).sum(1) - squares)
             slope = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]
-            touched, inverse = np.unique(at, return_inverse=True)
-            g = np.bincount(inverse, slope[doc], len(touched)) / len(chosen) + L2 * w[touched]
-            sums_w[touched] += g * g
-            w[touched] -= RATE * g / np.sqrt(sums_w[touched])
+            per_term = slope[doc] * x / len(chosen)
+            g = np.bincount(at, per_term, m)
+            sums_w += g * g
+            w = _shrunk(w - RATE * g / np.sqrt(sums_w), RATE * L1 / np.sqrt(sums_w))
             for f in range(RANK):
-                own = v[touched, f]
-                g = np.bincount(inverse, slope[doc] * (total[doc, f] - v[at, f]), len(touched)) / len(chosen) + L2 * own
-                sums_v[touched, f] += g * g
-                v[touched, f] = own - RATE * g / np.sqrt(sums_v[touched, f])
+                g = np.bincount(at, per_term * (total[doc, f] - own[:, f]), m)
+                sums_v[:, f] += g * g
+                pace = RATE / np.sqrt(sums_v[:, f])
+                v[:, f] = _shrunk(v[:, f] - pace * g, pace * L1)
             g = slope.mean()
             sum_b += g * g
             bias -= RATE * g / math.sqrt(sum_b)
-    return Model(float(bias), buckets, w.astype(np.float32), v.astype(np.float32))
+    # the values go into the weights, so scoring needs the sets only
+    return Model(float(bias), buckets, (w * value).astype(np.float32), (v * value[:, None]).astype(np.float32))
+
+
+def _shrunk(values: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Towards 0, so that terms without a say end at 0 and long texts gather no noise."""
+    return np.sign(values) * np.maximum(np.abs(values) - by, 0)
 
 
 def score_set(rows: np.ndarray, model: Model) -> float:
