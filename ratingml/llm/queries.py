@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingml.llm import fm_decontam, pii_surrogates, quality_hosts, toxicity_fm, unigram_pieces, url_filter
+from ratingml.llm import fm_decontam, html_mss, pii_surrogates, quality_hosts, toxicity_fm, unigram_pieces, url_filter, warc_normal
 from ratingml.llm.common import UPPER, table
 from ratingml.llm.registry import query
 
@@ -175,3 +175,28 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ids",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query("op2_scored_main_text")
+def op2_scored_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = html_mss.extracted(pages, html_mss.fit(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "op4_warc_normalised",
+    f"""
+    WITH payloads AS (
+      SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+             sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ),
+    newest AS (SELECT html, max(page_id) AS newest FROM payloads WHERE payload_bytes >= {warc_normal.MIN_REVISIT_BYTES} GROUP BY html)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN newest IS NULL OR newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN newest <> page_id THEN newest END AS refers_to
+    FROM payloads p LEFT JOIN newest n ON p.html = n.html
+    """,
+)
+def op4_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_normal.archived(table(spark, sf_dir, "pages"))
