@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         )
 
     sets = rows.mapInPandas(hashed, "id long, y int, terms array<int>")
-    row = sets.coalesce(1).mapInPandas(learned, "bias double, buckets binary, weights binary, factors binary").first()
+    # hashing stays parallel; only the bounded sample of sets meets in one task
+    row = sets.repartition(1).mapInPandas(learned, "bias double, buckets binary, weights binary, factors binary").first()
     return Model(
         row["bias"],
         np.frombuffer(row["buckets"], "<i4"),
