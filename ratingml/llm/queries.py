@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingml.llm import fm_decontam, html_mss, pii_surrogates, quality_hosts, toxicity_fm, unigram_pieces, url_filter, warc_normal
+from ratingml.llm import (
+    fm_decontam,
+    html_mss,
+    pii_surrogates,
+    quality_hosts,
+    token_coder,
+    toxicity_fm,
+    unigram_pieces,
+    url_filter,
+    warc_normal,
+)
 from ratingml.llm.common import UPPER, table
 from ratingml.llm.registry import query
 
@@ -200,3 +210,8 @@ def op2_scored_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_normal.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op6_context_mixed_tokens")
+def op6_context_mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_coder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
