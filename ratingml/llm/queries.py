@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratingml.llm import (
     fm_decontam,
     html_mss,
+    minhash_forest,
     pii_surrogates,
     quality_hosts,
     token_coder,
@@ -215,3 +216,8 @@ def op4_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_context_mixed_tokens")
 def op6_context_mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_coder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_minhash_forest_join")
+def op5_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.joined(table(spark, sf_dir, "documents")).drop("text_hash")
