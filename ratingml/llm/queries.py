@@ -179,13 +179,9 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_unigram_pieces")
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = unigram_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = unigram_pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, with_decoded=True)
-    return rows.select(
-        "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        "ids",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    rows = unigram_pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, keep=["doc_id"])
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
+
 
 
 @query("op2_scored_main_text")

@@ -26,15 +26,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ratingml.llm.common import quoted
 
 MARKER = "▁"
 LONG = 256
 #: Parts that an encoding process remembers, and the bytes a remembered part may have.
 REMEMBERED = 300_000
 REMEMBERED_BYTES = 64
+#: Rows that are encoded together.
+ROWS = 500
 
 _PARTS = re.compile(r" *[^ ]+| +")
 
@@ -313,25 +317,30 @@ class Encoder:
         return texts
 
 
-def encoded(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", with_decoded: bool = False) -> DataFrame:
-    """Add ``ids``; with ``with_decoded`` also ``decoded``, the text made from them again."""
+def encoded(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all), ``ids``, and ``round_trip``: whether decoding them gives the text.
+
+    Rows leave in small batches, ids as one flat array each, so memory does not grow with
+    the size of a batch that comes in.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "round_trip")]
+    rows = docs.select(*[quoted(c) for c in keep], quoted(text_col).alias("__text"))
 
-    @F.pandas_udf("ids array<int>, decoded string" if with_decoded else "ids array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
-        for texts in batches:
-            ids_of, decoded = [], []
-            values = [t if isinstance(t, str) else None for t in texts]
-            for start in range(0, len(values), 500):
-                some = values[start : start + 500]
-                ids, counts = coder.encode([t or "" for t in some])
-                ends = np.cumsum(counts)
-                ids_of += [None if t is None else ids[e - n : e] for t, e, n in zip(some, ends.tolist(), counts.tolist())]
-                if with_decoded:
-                    decoded += [None if t is None else d for t, d in zip(some, coder.decode(ids, counts))]
-            yield pd.DataFrame({"ids": ids_of, "decoded": decoded} if with_decoded else {"ids": ids_of})
-
-    out = docs.withColumn("__coded", encode(F.col(text_col)))
-    names = ["ids", "decoded"] if with_decoded else ["ids"]
-    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in names], *[F.col(f"__coded.{n}") for n in names])
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                texts = some.column(len(keep)).to_pylist()
+                ids, counts = coder.encode([t or "" for t in texts])
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                none = np.array([t is None for t in texts], bool)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()), mask=pa.array(none))
+                same = [t is None or t == d for t, d in zip(texts, coder.decode(ids, counts))]
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[: len(keep)], lists, pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"]
+                )
+
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return rows.mapInArrow(encode, schema)
