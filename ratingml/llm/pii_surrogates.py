@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingml.llm.common import quoted, stored
+from ratingml.llm.common import kept_apart, quoted, stored
 
 MALE = ("Mr", "Herr", "Herrn", "Sr", "Señor", "Monsieur", "г-н", "господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "г-жа", "госпожа")
@@ -90,21 +90,14 @@ def _shaped(text: Column, hexes: Column) -> Column:
     )
 
 
-def _email(canonical: Column, attempt: Column, key: str) -> Column:
+def _email(canonical: Column, own: Column, shared: Column) -> Column:
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
     zone = F.substring_index(domain, ".", -1)
     hosts = F.substring(domain, F.lit(1), F.length(domain) - F.length(zone) - 1)
-    return F.concat(
-        _shaped(local, _draw(key, F.lit("mail"), canonical, attempt, blocks=4)),
-        F.lit("@"),
-        _shaped(hosts, _draw(key, F.lit("domain"), domain, blocks=4)),
-        F.lit("."),
-        zone,
-    )
+    return F.concat(_shaped(local, own), F.lit("@"), _shaped(hosts, shared), F.lit("."), zone)
 
 
-def _ip(canonical: Column, attempt: Column, key: str) -> Column:
-    hexes = _draw(key, F.lit("ip"), canonical, attempt)
+def _ip(canonical: Column, hexes: Column) -> Column:
     part = lambda p, i: (
         F.when(F.length(p) == 3, 100 + _number(hexes, i * 8, 156))
         .when(F.length(p) == 2, 10 + _number(hexes, i * 8, 90))
@@ -123,39 +116,50 @@ def _luhn(digits: Column, last: bool) -> Column:
     )
 
 
-def _digits(canonical: Column, kind: str, attempt: Column, key: str, kept: Column) -> Column:
+def _digits(canonical: Column, own: Column, kept: Column) -> Column:
     """Digits replaced but for the first ``kept``."""
-    drawn = _shaped(canonical, _draw(key, F.lit(kind), canonical, attempt, blocks=2))
-    whole = F.concat(F.substring(canonical, F.lit(1), kept), F.substring(drawn, kept + 1, F.length(canonical)))
-    if kind != "card":
-        return whole
-    body = F.substring(whole, F.lit(1), F.length(whole) - 1)
+    drawn = _shaped(canonical, own)
+    return F.concat(F.substring(canonical, F.lit(1), kept), F.substring(drawn, kept + 1, F.length(canonical)))
+
+
+def _checked(canonical: Column, number: Column) -> Column:
+    """The last digit of a card number made valid where the real one is."""
+    body = F.substring(number, F.lit(1), F.length(number) - 1)
     right = F.concat(body, F.pmod(-_luhn(body, False), F.lit(10)).cast("string"))
-    return F.when(_luhn(canonical, True) % 10 == 0, right).otherwise(whole)
+    return F.when(_luhn(canonical, True) % 10 == 0, right).otherwise(number)
 
 
-def _invented(token: Column, role: str, script: str, gender: str, attempt: Column | None, key: str) -> Column:
-    hexes = _draw(key, F.lit(role), F.lit(gender if role == "given" else ""), token, *([] if attempt is None else [attempt]))
-    sounds = _SYLLABLES[script]
-    ends = (_GIVEN_ENDS if role == "given" else _LAST_ENDS)[script, gender]
-    picks = [F.get(F.array(*[F.lit(s) for s in sounds]), _number(hexes, 4 * i, len(sounds))) for i in range(4)]
-    return F.initcap(F.concat(*picks, F.lit(ends)))
+def _invented(word: Column, role: Column, script: Column, end: Column, attempt: Column, key: str) -> Column:
+    """Four syllables and an ending; ``role`` keeps given names of both genders and surnames apart."""
+    hexes = _draw(key, role, word, attempt)
+    sounds = F.when(script == "cyrillic", F.array(*[F.lit(s) for s in _SYLLABLES["cyrillic"]])).otherwise(
+        F.array(*[F.lit(s) for s in _SYLLABLES["latin"]])
+    )
+    picks = F.transform(F.array(*[F.lit(4 * i) for i in range(4)]), lambda at: F.get(sounds, _number(hexes, at, len(_SYLLABLES["latin"]))))
+    return F.initcap(F.concat(F.array_join(picks, ""), end))
 
 
-def _name(canonical: Column, gender: str, attempt: Column, key: str) -> Column:
+def _name(canonical: Column, kind: Column, attempt: Column, key: str) -> Column:
     """``canonical`` is the lower-cased name; the surname is drawn from its own word, so it is shared."""
     words = F.split(canonical, " ")
+    script = F.when(F.rlike(canonical, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
+    gender = F.substring(kind, -1, 1)
 
-    def whole(script: str) -> Column:
-        first_tries = F.when(attempt == 0, F.lit("0")).otherwise(attempt.cast("string"))
-        given = F.transform(
-            F.slice(words, F.lit(1), F.size(words) - 1), lambda w: _invented(w, "given", script, gender, first_tries, key)
-        )
-        # alone, a surname can only be told apart by itself
-        last_try = F.when(F.size(words) == 1, first_tries).otherwise(F.lit("0"))
-        return F.array_join(F.concat(given, F.array(_invented(F.element_at(words, -1), "last", script, gender, last_try, key))), " ")
+    def end(ends: dict[tuple[str, str], str]) -> Column:
+        found = F.lit("")
+        for (own_script, own_gender), text in ends.items():
+            found = F.when((script == own_script) & (gender == own_gender), text).otherwise(found)
+        return found
 
-    return F.when(F.rlike(canonical, F.lit(r"\p{IsCyrillic}")), whole("cyrillic")).otherwise(whole("latin"))
+    tries = attempt.cast("string")
+    given = F.transform(
+        F.slice(words, F.lit(1), F.size(words) - 1),
+        lambda w: _invented(w, F.concat(F.lit("given"), gender), script, end(_GIVEN_ENDS), tries, key),
+    )
+    # only a name without a given name has to try another surname
+    last_try = F.when(F.size(words) == 1, tries).otherwise(F.lit("0"))
+    last = _invented(F.element_at(words, -1), F.lit("last"), script, end(_LAST_ENDS), last_try, key)
+    return F.array_join(F.concat(given, F.array(last)), " ")
 
 
 def kind_of(raw: Column) -> Column:
@@ -183,22 +187,28 @@ def canonical_of(raw: Column, kind: Column) -> Column:
     )
 
 
-def surrogate_of(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The drawn replacement of a canonical form."""
-    code = F.substring_index(canonical, "|", 1)
-    number = F.substring_index(canonical, "|", -1)
-    tries = attempt.cast("string")
-    secret = F.substring(_draw(key, F.lit("secret"), canonical, tries, blocks=4), F.lit(1), F.length(canonical))
-    return (
-        F.when(kind == "email", _email(canonical, tries, key))
-        .when(kind == "ip", _ip(canonical, tries, key))
-        .when(kind == "secret", secret)
-        .when(kind == "card", _digits(canonical, "card", tries, key, F.lit(1)))
-        .when(kind == "ssn", _digits(canonical, "ssn", tries, key, F.lit(0)))
-        .when(kind == "phone", F.concat(code, F.lit("|"), _digits(number, "phone", tries, key, F.length(code))))
-        .when(kind == "name-m", _name(canonical, "m", attempt, key))
-        .when(kind == "name-f", _name(canonical, "f", attempt, key))
+def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``surrogate`` to ``kind, canonical, attempt``: the drawn replacement of the canonical form."""
+    kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
+    domain = F.substring_index(canonical, "@", -1)
+    rows = kept_apart(
+        rows,
+        __own=_draw(key, kind, canonical, attempt.cast("string"), blocks=4),
+        __domain=_draw(key, F.lit("domain"), domain, blocks=4),
+    )
+    own = F.col("__own")
+    code, number = F.substring_index(canonical, "|", 1), F.substring_index(canonical, "|", -1)
+    drawn = (
+        F.when(kind == "email", _email(canonical, own, F.col("__domain")))
+        .when(kind == "ip", _ip(canonical, own))
+        .when(kind == "secret", F.substring(own, F.lit(1), F.length(canonical)))
+        .when(kind == "phone", F.concat(code, F.lit("|"), _digits(number, own, F.length(code))))
+        .when(kind.startswith("name"), _name(canonical, kind, attempt, key))
+        .otherwise(_digits(canonical, own, F.when(kind == "card", 1).otherwise(0)))
     )
+    rows = kept_apart(rows, __drawn=drawn).drop("__own", "__domain")
+    checked = F.when(kind == "card", _checked(canonical, F.col("__drawn"))).otherwise(F.col("__drawn"))
+    return rows.withColumn("surrogate", checked).drop("__drawn")
 
 
 def written_as(raw: Column, kind: Column, surrogate: Column) -> Column:
@@ -232,7 +242,7 @@ def assigned(found: DataFrame, key: str) -> DataFrame:
     """``kind, canonical, surrogate`` for the distinct entities in ``kind, canonical``, without collisions."""
     rows = stored(found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), "pii-entities")
     for _ in range(ATTEMPTS):
-        drawn = rows.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
+        drawn = with_surrogate(rows, key)
         drawn = stored(drawn, "pii-drawn")
         group = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
         real = rows.select(F.col("kind").alias("__kind"), _comparable(F.col("canonical"), F.col("kind")).alias("__real"), F.lit(True).alias("__taken"))
