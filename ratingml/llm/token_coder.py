@@ -8,12 +8,11 @@ range partitions, and every partition writes one file:
 A block holds ``BLOCK`` ids (the last one fewer) and stands alone: its model starts
 anew, and a checksum of its ids follows in the header. The model predicts the next id
 from contexts of order 2 (the last two ids) and order 1 (the last id), each by the id
-that followed there last. Whether the order-2 prediction holds, else the order-1
-prediction, else none, is one decision with three outcomes. Its probabilities are
-mixed from adaptive counts under the order-2 confidence, the order-1 confidence and
-no context. An id that nothing predicted is coded by order-0 counts of the size class
-of its number and its place in that class. A carry-less 32-bit range coder turns
-the decisions into bytes.
+that followed there last. Whether the order-2 prediction holds, then whether the
+order-1 prediction does, are decisions whose chances are mixed from adaptive
+estimates under the order-2 confidence, the order-1 confidence and no context. An id
+that neither predicts is coded by order-0 counts of the size class of its number and
+its place in that class. A carry-less 64-bit range coder turns the decisions into bytes.
 
 All blocks of a slab are coded in step, one id of each at a time, so the work is on
 arrays; each block's bytes depend on that block only.
@@ -46,188 +45,196 @@ END_ID = 2
 BLOCK = 2048
 #: Blocks that are coded in step.
 SLAB = 2048
-MAGIC = b"TOKCM01\n"
+MAGIC = b"TOKCM02\n"
 
-_SLOTS = 4096
+_SLOTS = 2048
 _NONE = 65_535
-_TOP = np.uint64(1 << 24)
-_LOW = np.uint64(1 << 16)
-_MASK = np.uint64(0xFFFFFFFF)
-_BYTE = np.uint64(8)
 _CLASSES = 17
-_LIMIT = 1 << 13
-_STEP = 24
+#: Steps after which the order-0 intervals follow their counts.
+_REFRESH = 32
+_U = np.uint64
+_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
 
 
 class _Model:
     """The state of all blocks of a slab; every block has rows of its own."""
 
     def __init__(self, lanes: int):
-        n = np.arange(lanes)
-        self.row1, self.row2 = n * _SLOTS, n * _SLOTS
+        self.lanes = np.arange(lanes)
+        self.slot = self.lanes * _SLOTS
         self.next1 = np.full(lanes * _SLOTS, _NONE, np.uint16)
         self.next2 = np.full(lanes * _SLOTS, _NONE, np.uint16)
         self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
         self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
-        # counts of the three outcomes, by order-2 confidence, order-1 confidence, and alone
-        start = np.array([2, 2, 12], np.int64)
-        self.by2 = np.tile(start, (lanes * 4, 1))
-        self.by1 = np.tile(start, (lanes * 4, 1))
-        self.by0 = np.tile(start, (lanes, 1))
-        self.classes = np.ones((lanes, _CLASSES), np.int64)
+        # chances (of 65536) that the order-2 prediction holds: by its own confidence, by that
+        # of order 1, and over all; then the same for the order-1 prediction
+        self.hold2 = [np.full(lanes * 4, 32_768, np.int64), np.full(lanes * 4, 32_768, np.int64), np.full(lanes, 32_768, np.int64)]
+        self.hold1 = [np.full(lanes * 4, 16_384, np.int64), np.full(lanes, 16_384, np.int64)]
+        self.counts = np.ones((lanes, _CLASSES), np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
-        self.lanes = n
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Order-0 intervals (of 4096) from the counts so far."""
+        sums = np.cumsum(self.counts, axis=1)
+        # every class keeps a width of one at least
+        ends = sums * (4096 - _CLASSES) // sums[:, -1:] + np.arange(1, _CLASSES + 1)
+        self.ends = np.concatenate([np.zeros((len(ends), 1), np.int64), ends], 1)
 
     def look(self, on: np.ndarray) -> None:
-        """Predictions and mixed counts for the lanes ``on``."""
-        last, before = self.last[on], self.before[on]
-        self.at1 = self.row1[on] + (last * 40_503 & 0xFFFF) % _SLOTS
-        self.at2 = self.row2[on] + ((last * 40_503 ^ before * 60_493 >> 3) & 0xFFFF) % _SLOTS
-        self.guess1, self.guess2 = self.next1[self.at1].astype(np.int64), self.next2[self.at2].astype(np.int64)
-        self.lane4_2 = on * 4 + self.sure2[self.at2]
-        self.lane4_1 = on * 4 + self.sure1[self.at1]
-        # the sure contexts say more, so they count double
-        self.mixed = 2 * self.by2[self.lane4_2] + 2 * self.by1[self.lane4_1] + self.by0[on]
-
-    def learn(self, on: np.ndarray, ids: np.ndarray, outcome: np.ndarray) -> None:
-        rows = np.arange(len(on))
-        for counts, where in ((self.by2, self.lane4_2), (self.by1, self.lane4_1), (self.by0, on)):
-            own = counts[where]
-            own[rows, outcome] += _STEP
-            full = own.sum(1) > _LIMIT
-            if full.any():
-                own[full] = (own[full] + 1) >> 1
-            counts[where] = own
-        for sure, follow, at, guess in ((self.sure2, self.next2, self.at2, self.guess2), (self.sure1, self.next1, self.at1, self.guess1)):
-            held = guess == ids
-            s = sure[at]
-            sure[at] = np.where(held, np.minimum(s + 1, 3), 0)
-            follow[at] = ids
+        last = self.last[on]
+        slot, four = self.slot[on], on << 2
+        self.at1 = slot + ((last * 40_503 >> 4) & (_SLOTS - 1))
+        self.at2 = slot + (((last * 40_503 ^ self.before[on] * 60_493) >> 4) & (_SLOTS - 1))
+        self.guess1, self.guess2 = self.next1[self.at1], self.next2[self.at2]
+        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
+        self.four1, self.four2 = four + self.s1, four + self.s2
+
+    def chance2(self, on: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Chance (of 4096) of the order-2 prediction for the places ``some`` of ``on``."""
+        a, b, c = self.hold2
+        mixed = (2 * a[self.four2[some]] + b[self.four1[some]] + c[on[some]]) >> 6
+        return np.clip(mixed, 16, 4080)
+
+    def chance1(self, on: np.ndarray, some: np.ndarray) -> np.ndarray:
+        a, c = self.hold1
+        return np.clip((a[self.four1[some]] + c[on[some]]) >> 5, 16, 4080)
+
+    def held2(self, on: np.ndarray, some: np.ndarray, hit: np.ndarray) -> None:
+        goal = np.where(hit, 65_535, 0)
+        for chances, where in zip(self.hold2, (self.four2[some], self.four1[some], on[some])):
+            own = chances[where]
+            chances[where] = own + ((goal - own) >> 4)
+
+    def held1(self, on: np.ndarray, some: np.ndarray, hit: np.ndarray) -> None:
+        goal = np.where(hit, 65_535, 0)
+        for chances, where in zip(self.hold1, (self.four1[some], on[some])):
+            own = chances[where]
+            chances[where] = own + ((goal - own) >> 4)
+
+    def learn(self, on: np.ndarray, ids: np.ndarray) -> None:
+        self.sure2[self.at2] = np.where(self.guess2 == ids, np.minimum(self.s2 + 1, 3), 0)
+        self.sure1[self.at1] = np.where(self.guess1 == ids, np.minimum(self.s1 + 1, 3), 0)
+        self.next2[self.at2] = ids
+        self.next1[self.at1] = ids
         self.before[on] = self.last[on]
         self.last[on] = ids
 
-    def class_counts(self, on: np.ndarray) -> np.ndarray:
-        return self.classes[on]
-
-    def learn_class(self, on: np.ndarray, number: np.ndarray) -> None:
-        own = self.classes[on]
-        own[np.arange(len(on)), number] += _STEP
-        full = own.sum(1) > _LIMIT
-        if full.any():
-            own[full] = (own[full] + 1) >> 1
-        self.classes[on] = own
-
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
     """Number of bits of an id."""
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
 
 
-class _Writer:
-    """A range coder per lane, without carries."""
+class _Range:
+    """What writing and reading share: an interval per lane, kept above ``_BOTTOM`` without carries."""
 
-    def __init__(self, lanes: int, room: int):
+    def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, room), np.uint8)
-        self.size = np.zeros(lanes, np.int64)
+        self.width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def put(self, on: np.ndarray, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        unit = self.range[on] // total.astype(np.uint64)
-        low = (self.low[on] + unit * start.astype(np.uint64)) & _MASK
-        span = unit * width.astype(np.uint64)
+    def narrow(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        self.low[lanes] += unit * start.astype(np.uint64)
+        self.width[lanes] = unit * width.astype(np.uint64)
+
+    def settle(self, lanes: np.ndarray) -> None:
+        """Shift out what no longer changes, 16 bits at a time."""
         while True:
-            same = (low ^ (low + span)) < _TOP
-            short = ~same & (span < _LOW)
-            go = np.flatnonzero(same | short)
+            low, width = self.low[lanes], self.width[lanes]
+            same = (low ^ (low + width)) < _TOP
+            go = np.flatnonzero(same | (width < _BOTTOM))
             if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            span[cut] = (~low[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
-            lanes = on[go]
-            self.out[lanes, self.size[lanes]] = (low[go] >> np.uint64(24)).astype(np.uint8)
-            self.size[lanes] += 1
-            low[go] = (low[go] << _BYTE) & _MASK
-            span[go] = span[go] << _BYTE
-        self.low[on], self.range[on] = low, span
+                return
+            lanes, low, width, same = lanes[go], low[go], width[go], same[go]
+            # an interval across a border is cut there
+            width = np.where(same, width, (~low + _U(1)) & (_BOTTOM - _U(1)))
+            self.shift(lanes, low)
+            self.low[lanes] = low << _U(16)
+            self.width[lanes] = width << _U(16)
+
+
+class _Writer(_Range):
+    def __init__(self, lanes: int, room: int):
+        super().__init__(lanes)
+        self.out = np.zeros((lanes, room), "<u2")
+        self.size = np.zeros(lanes, np.int64)
+
+    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        self.out[lanes, self.size[lanes]] = (low >> _U(48)).astype(np.uint16)
+        self.size[lanes] += 1
 
-    def end(self, on: np.ndarray) -> None:
-        for shift in (24, 16, 8, 0):
-            self.out[on, self.size[on]] = ((self.low[on] >> np.uint64(shift)) & np.uint64(255)).astype(np.uint8)
-            self.size[on] += 1
+    def flag(self, lanes: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> None:
+        unit = self.width[lanes] >> _U(12)
+        self.narrow(lanes, unit, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
 
+    def end(self, lanes: np.ndarray) -> None:
+        for shift in (48, 32, 16, 0):
+            self.out[lanes, self.size[lanes]] = ((self.low[lanes] >> _U(shift)) & _U(65_535)).astype(np.uint16)
+            self.size[lanes] += 1
 
-class _Reader:
-    """The other side of ``_Writer``."""
 
+class _Reader(_Range):
     def __init__(self, data: list[bytes]):
-        lanes = len(data)
-        room = max(map(len, data)) + 8
-        self.data = np.frombuffer(b"".join(d.ljust(room, b"\0") for d in data), np.uint8).reshape(lanes, room)
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.code = np.zeros(lanes, np.uint64)
+        super().__init__(len(data))
+        room = max(map(len, data)) + 16
+        self.data = np.frombuffer(b"".join(d.ljust(room, b"\0") for d in data), "<u2").reshape(len(data), room // 2)
+        self.code = np.zeros(len(data), np.uint64)
         for i in range(4):
-            self.code = (self.code << _BYTE) | self.data[:, i].astype(np.uint64)
-        self.at = np.full(lanes, 4, np.int64)
-
-    def peek(self, on: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range[on] // total.astype(np.uint64)
-        found = ((self.code[on] - self.low[on]) & _MASK) // self.unit
-        return np.minimum(found.astype(np.int64), total - 1)
-
-    def take(self, on: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        low = (self.low[on] + self.unit * start.astype(np.uint64)) & _MASK
-        span = self.unit * width.astype(np.uint64)
-        code = self.code[on]
-        while True:
-            same = (low ^ (low + span)) < _TOP
-            short = ~same & (span < _LOW)
-            go = np.flatnonzero(same | short)
-            if not len(go):
-                break
-            cut = np.flatnonzero(short)
-            span[cut] = (~low[cut] + np.uint64(1)) & (_LOW - np.uint64(1))
-            lanes = on[go]
-            code[go] = ((code[go] << _BYTE) & _MASK) | self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)].astype(np.uint64)
-            self.at[lanes] += 1
-            low[go] = (low[go] << _BYTE) & _MASK
-            span[go] = span[go] << _BYTE
-        self.low[on], self.range[on], self.code[on] = low, span, code
+            self.code = (self.code << _U(16)) | self.data[:, i].astype(np.uint64)
+        self.at = np.full(len(data), 4, np.int64)
+
+    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = np.minimum(self.at[lanes], self.data.shape[1] - 1)
+        self.code[lanes] = (self.code[lanes] << _U(16)) | self.data[lanes, at].astype(np.uint64)
+        self.at[lanes] += 1
+
+    def flag(self, lanes: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        unit = self.width[lanes] >> _U(12)
+        hit = self.code[lanes] - self.low[lanes] < unit * chance.astype(np.uint64)
+        self.narrow(lanes, unit, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
+        return hit
+
+    def number(self, lanes: np.ndarray, unit: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+        return np.minimum(((self.code[lanes] - self.low[lanes]) // unit).astype(np.int64), most)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Code blocks of ids (longest first) in step; each result stands alone."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), int(lengths.max())), np.int64)
-    for row, block in enumerate(blocks):
-        ids[row, : len(block)] = block
-    model, coder = _Model(len(blocks)), _Writer(len(blocks), 6 * int(lengths.max()) + 16)
-    for at in range(ids.shape[1]):
+    ids = np.zeros((int(lengths.max()), len(blocks)), np.int32)
+    for lane, block in enumerate(blocks):
+        ids[: len(block), lane] = block
+    model, coder = _Model(len(blocks)), _Writer(len(blocks), 4 * len(ids) + 16)
+    for at in range(len(ids)):
         on = model.lanes[: int((lengths > at).sum())]
-        now = ids[on, at]
+        now = ids[at, : len(on)].astype(np.int64)
         model.look(on)
-        hit2 = now == model.guess2
-        outcome = np.where(hit2, 0, np.where(now == model.guess1, 1, 2))
-        c0, c1, c2 = model.mixed.T
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, c0, c0 + c1))
-        width = np.where(outcome == 0, c0, np.where(outcome == 1, c1, c2))
-        coder.put(on, start, width, c0 + c1 + c2)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            own, values = on[rest], now[rest]
-            kind = _class_of(values)
-            counts = model.class_counts(own)
-            ends = np.cumsum(counts, axis=1)
-            rows = np.arange(len(rest))
-            width = counts[rows, kind]
-            coder.put(own, ends[rows, kind] - width, width, ends[:, -1])
-            base = np.where(kind == 0, 0, (1 << np.maximum(kind - 1, 0)))
-            inner = np.flatnonzero(kind > 1)
-            coder.put(own[inner], values[inner] - base[inner], np.ones(len(inner), np.int64), base[inner])
-            model.learn_class(own, kind)
-        model.learn(on, now, outcome)
+        some = np.flatnonzero(model.guess2 != _NONE)
+        hit = now[some] == model.guess2[some]
+        coder.flag(on[some], model.chance2(on, some), hit)
+        model.held2(on, some, hit)
+        open_ = np.ones(len(on), bool)
+        open_[some[hit]] = False
+        some = np.flatnonzero(open_ & (model.guess1 != _NONE) & (model.guess1 != model.guess2))
+        hit = now[some] == model.guess1[some]
+        coder.flag(on[some], model.chance1(on, some), hit)
+        model.held1(on, some, hit)
+        open_[some[hit]] = False
+        coder.settle(on)
+        rest = np.flatnonzero(open_)
+        lanes, values = on[rest], now[rest]
+        kind = _class_of(values)
+        bits = np.maximum(kind - 1, 0)
+        first = model.ends[lanes, kind]
+        coder.narrow(lanes, coder.width[lanes] >> _U(12), first, model.ends[lanes, kind + 1] - first)
+        inner = np.where(kind == 0, 0, values - (1 << bits))
+        coder.narrow(lanes, coder.width[lanes] >> bits.astype(np.uint64), inner, np.ones_like(inner))
+        coder.settle(lanes)
+        model.counts[lanes, kind] += 4
+        model.learn(on, now)
+        if at % _REFRESH == 0:
+            model.refresh()
     coder.end(model.lanes)
     return [coder.out[i, : coder.size[i]].tobytes() for i in range(len(blocks))]
 
@@ -235,40 +242,43 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def decode_blocks(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """Blocks back from their bytes; lengths from the longest to the shortest."""
     sizes = np.array(lengths)
-    ids = np.zeros((len(data), int(sizes.max())), np.int64)
+    ids = np.zeros((int(sizes.max()), len(data)), np.int32)
     model, coder = _Model(len(data)), _Reader(data)
-    for at in range(ids.shape[1]):
+    for at in range(len(ids)):
         on = model.lanes[: int((sizes > at).sum())]
         model.look(on)
-        c0, c1, c2 = model.mixed.T
-        found = coder.peek(on, c0 + c1 + c2)
-        outcome = (found >= c0).astype(np.int64) + (found >= c0 + c1)
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, c0, c0 + c1))
-        width = np.where(outcome == 0, c0, np.where(outcome == 1, c1, c2))
-        coder.take(on, start, width)
-        now = np.where(outcome == 0, model.guess2, model.guess1)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            own = on[rest]
-            counts = model.class_counts(own)
-            ends = np.cumsum(counts, axis=1)
-            found = coder.peek(own, ends[:, -1])
-            kind = (ends <= found[:, None]).sum(1)
-            rows = np.arange(len(rest))
-            width = counts[rows, kind]
-            coder.take(own, ends[rows, kind] - width, width)
-            base = np.where(kind == 0, 0, (1 << np.maximum(kind - 1, 0)))
-            inner = np.flatnonzero(kind > 1)
-            values = base.copy()
-            if len(inner):
-                found = coder.peek(own[inner], base[inner])
-                coder.take(own[inner], found, np.ones(len(inner), np.int64))
-                values[inner] += found
-            now[rest] = values
-            model.learn_class(own, kind)
-        ids[on, at] = now
-        model.learn(on, now, outcome)
-    return [ids[i, :n] for i, n in enumerate(lengths)]
+        now = model.guess2.astype(np.int64)
+        some = np.flatnonzero(model.guess2 != _NONE)
+        hit = coder.flag(on[some], model.chance2(on, some))
+        model.held2(on, some, hit)
+        open_ = np.ones(len(on), bool)
+        open_[some[hit]] = False
+        some = np.flatnonzero(open_ & (model.guess1 != _NONE) & (model.guess1 != model.guess2))
+        hit = coder.flag(on[some], model.chance1(on, some))
+        model.held1(on, some, hit)
+        now[some[hit]] = model.guess1[some[hit]]
+        open_[some[hit]] = False
+        coder.settle(on)
+        rest = np.flatnonzero(open_)
+        lanes = on[rest]
+        unit = coder.width[lanes] >> _U(12)
+        place = coder.number(lanes, unit, 4095)
+        kind = (model.ends[lanes, 1:] <= place[:, None]).sum(1)
+        kind = np.minimum(kind, _CLASSES - 1)
+        bits = np.maximum(kind - 1, 0)
+        first = model.ends[lanes, kind]
+        coder.narrow(lanes, unit, first, model.ends[lanes, kind + 1] - first)
+        unit = coder.width[lanes] >> bits.astype(np.uint64)
+        inner = coder.number(lanes, unit, (1 << bits) - 1)
+        coder.narrow(lanes, unit, inner, np.ones_like(inner))
+        coder.settle(lanes)
+        model.counts[lanes, kind] += 4
+        now[rest] = np.where(kind == 0, 0, (1 << bits) + inner)
+        ids[at, : len(on)] = now
+        model.learn(on, now)
+        if at % _REFRESH == 0:
+            model.refresh()
+    return [ids[:n, i].astype(np.int64) for i, n in enumerate(lengths)]
 
 
 class Encoder:
