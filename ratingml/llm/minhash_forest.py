@@ -370,7 +370,8 @@ def with_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, word
             yield pd.DataFrame({"class": batch["class"], "members": sets})
 
     rows = docs.select(_id_key(F.col(id_col)).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), F.col(text_col).alias("text"))
-    chosen = rows.join(reps, (F.col("__id") == F.col("rep")) & (F.col("__hash") == F.col("rep_hash")))
+    # the list grows with the documents, so it is never sent to all tasks; the plan is the same at every size
+    chosen = rows.join(reps.hint("merge"), (F.col("__id") == F.col("rep")) & (F.col("__hash") == F.col("rep_hash")))
     return chosen.select("class", "text").mapInPandas(make, "class long, members binary")
 
 

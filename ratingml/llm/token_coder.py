@@ -27,6 +27,7 @@ a hash of their text; null doc_ids come first. An empty table gives no file.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -347,6 +348,18 @@ class Encoder:
         return ids, offsets[bounds[1:]] - offsets[bounds[:-1]]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(tokenizer_file: str) -> Encoder:
+    """One encoder per Python process: later tasks find the parts of earlier ones."""
+    # tasks already use all cores
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 class FileWriter:
     """Collects ids and documents of one file; codes a slab of blocks whenever one is full."""
 
@@ -418,7 +431,7 @@ def write_files(docs: DataFrame, tokenizer_file: str, folder: str, partitions: i
     """One file per range of doc_ids; gives ``part, path, n_docs, n_ids`` in the order of the ids."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, path, n_docs = Encoder(tokenizer_file), None, "", 0
+        coder, writer, path, n_docs = _encoder(tokenizer_file), None, "", 0
         for batch in batches:
             for start in range(0, len(batch), 500):
                 some = batch.iloc[start : start + 500]
