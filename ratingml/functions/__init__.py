@@ -7,6 +7,7 @@ from ratingml.functions.columns import (
     hash_order,
     hash_unit,
     multi_values,
+    named,
     number_or_null,
     rating_label,
     spread,
@@ -20,6 +21,7 @@ __all__ = [
     "hash_order",
     "hash_unit",
     "multi_values",
+    "named",
     "number_or_null",
     "rating_label",
     "spread",

@@ -51,12 +51,17 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"((?U)\w+)"))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, also with dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hash_order(keys: Sequence[str], seed: int) -> Column:
     """60-bit number from the md5 of the key values and the seed.
 
     A seeded random order that any engine repeats, in 8 bytes per row.
     """
-    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    text = F.concat_ws(":", *[named(k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, _HASH_DIGITS), 16, 10).cast("long")
 
 

@@ -210,7 +210,7 @@ class KeyIndexModel(Transformer, _KeyIndexParams, MLReadable, MLWritable):
                 bad = F.raise_error(F.concat(F.lit(f"no index for {source}: "), text))
                 index = F.when(index.isNotNull(), index).otherwise(bad.cast("long"))
             rest = [c for c in out.columns if c not in ("__index", target)]
-            out = out.select(*rest, index.cast("int").alias(target))
+            out = out.select(*rest, index.cast("long").alias(target))
         return out
 
     def write(self) -> MLWriter:

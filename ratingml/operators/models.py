@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -181,16 +182,25 @@ class _Learner:
         self.pipeline_model: PipelineModel | None = None
         self.report = None
 
-    def train(self, df: DataFrame, evaluate: bool = False, debug: bool = False, **params) -> PipelineModel:
+    def train(
+        self, df: DataFrame, evaluate: bool = False, debug: bool = False, holdout: dict | None = None, **params
+    ) -> PipelineModel:
         """Fit; with ``evaluate`` tune on a per-user hold-out and keep the best model.
 
-        ``debug`` prints a few transformed rows. ``params`` go to the model, or to
-        ``evaluate_holdout`` when tuning.
+        ``debug`` prints a few transformed rows. ``holdout`` holds the options of
+        ``evaluate_holdout``. ``params`` are settings of the model; when tuning, each is a
+        grid of one value. ``stages`` serves both.
         """
         if evaluate:
             from ratingml.plans.evaluate import evaluate_holdout
 
-            self.report = evaluate_holdout(df, self.algo, **params)
+            options = dict(holdout or {})
+            own = dict(params)
+            if "stages" in own:
+                options["stages"] = own.pop("stages")
+            if own:
+                options["grid"] = {**{k: [v] for k, v in own.items()}, **(options.get("grid") or {})}
+            self.report = evaluate_holdout(df, self.algo, **options)
             self.pipeline_model = self.report.model
         else:
             self.pipeline_model = train(df, self.algo, **params)
@@ -233,22 +243,19 @@ def round_metrics(model: GBTRegressionModel, sets: dict[str, DataFrame], label:
         for i, tree in enumerate(model.trees):
             own = {tree.featuresCol: model.getFeaturesCol(), tree.predictionCol: f"__t{i}"}
             scored = tree.copy(own).transform(scored)
-        sums: list[Column] = []
-        for i, weight in enumerate(weights):
-            part = F.col(f"__t{i}") * F.lit(weight)
-            sums.append(part if not sums else sums[-1] + part)
-        y = F.col("__y")
-        errors = []
-        for i, p in enumerate(sums):
-            logs = F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(y)
-            errors.append(
-                F.struct(
-                    F.lit(i + 1).alias("round"),
-                    F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"),
-                    F.sqrt(F.avg(logs * logs)).alias("rmsle"),
-                )
-            )
-        found = scored.agg(F.array(*errors).alias("r")).select(F.inline("r"))
+        parts = F.array(*[F.col(f"__t{i}") * F.lit(weight) for i, weight in enumerate(weights)])
+        # one running sum over the trees; an array keeps the plan as long as the model, not its square
+        sums = F.aggregate(
+            parts,
+            F.array().cast("array<double>"),
+            lambda done, part: F.concat(done, F.array(part + F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), done), -1), F.lit(0.0)))),
+        )
+        each = scored.select("__y", F.posexplode(sums).alias("__i", "__p"))
+        y, p = F.col("__y"), F.col("__p")
+        logs = F.log1p(F.greatest(p, F.lit(0.0))) - F.log1p(y)
+        found = each.groupBy((F.col("__i") + 1).alias("round")).agg(
+            F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"), F.sqrt(F.avg(logs * logs)).alias("rmsle")
+        )
         tables.append(found.select(F.lit(name).alias("set"), "round", "rmse", "rmsle"))
     if not rounds:
         raise ValueError("the model has no trees")
@@ -285,9 +292,8 @@ def fit_with_patience(
     """Stop after ``patience`` rounds without gain on the validation rows.
 
     Spark's rule is a tolerance, not a count. So all rounds are fitted and scored
-    once, and the model is fitted again up to the best round: with one seed and one
-    layout its trees are the first ones of the full model. Returns the model and
-    the metric table of the full run.
+    once, and the trees up to the best round are kept. Returns the model and the
+    metric table of the full run.
     """
     if validation is None:
         raise ValueError("early stopping needs validation rows")
@@ -296,6 +302,20 @@ def fit_with_patience(
     metrics = round_metrics(full, {"train": train_rows, "validation": validation}, label)
     scores = metrics.filter(F.col("set") == "validation").orderBy("round").select("rmse").collect()
     keep = stopping_round([row[0] for row in scores], patience)
-    if keep == len(scores):
-        return full, metrics
-    return estimator.copy({estimator.maxIter: keep}).fit(train_rows), metrics
+    return first_trees(full, keep), metrics
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The boosted model of the first ``count`` trees; it can be saved like any other."""
+    whole = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    names = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(names.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i in range(count):
+        trees[i], weights[i] = whole.trees()[i], whole.treeWeights()[i]
+    kept_model = GBTRegressionModel(names.GBTRegressionModel(model.uid, trees, weights))
+    kept_model._resetUid(model.uid)
+    model._copyValues(kept_model)
+    kept_model._transfer_params_to_java()
+    return kept_model

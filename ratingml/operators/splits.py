@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, AtomicType
 
-from ratingml.functions import hash_order, hash_unit
+from ratingml.functions import hash_order, hash_unit, named
 from ratingml.operators.skew import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, hot_keys, running_total
 from ratingml.storage import durable
 
@@ -82,7 +82,7 @@ def ranked_in_group(
     # places first: their sort order serves the count as well
     window = Window.partitionBy(group)
     ranked = usual.withColumn("place", F.row_number().over(window.orderBy(*order)).cast("long"))
-    ranked = ranked.withColumn("count", F.count(counted).over(window)).select(*df.columns, "count", "place")
+    ranked = ranked.withColumn("count", F.count(counted).over(window)).select(*[named(c) for c in df.columns], "count", "place")
     if n_hot:
         heavy = df.join(hot, is_hot, "left_semi")
         ranked = ranked.unionByName(_rank_heavy(heavy, group, order, counted, n_hot))
@@ -92,7 +92,7 @@ def ranked_in_group(
 def _rank_heavy(
     df: DataFrame, group: str, order: Sequence[Column], counted: Column, n_groups: int
 ) -> DataFrame:
-    columns = df.columns
+    columns = [named(c) for c in df.columns]
     distinct = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
     totals = running_total(distinct, [F.col(group).asc(), *order], F.col("__copies"), "__before")
     groups = totals.groupBy(F.col(group).alias("__group")).agg(
@@ -125,7 +125,10 @@ def with_user_part(
     """
     df = df.drop("count", "ratio", "part")
     # the remaining columns settle ties, so two reads of the plan agree
-    total_order = [*order, *[F.col(c).asc() for c in _sortable(df) if c != user_col]]
+    sortable = _sortable(df)
+    total_order = [*order, *[named(c).asc() for c in sortable if c != user_col]]
+    # columns that cannot be compared count by their text
+    total_order += [F.to_json(F.struct(named(c))).asc() for c in df.columns if c not in sortable]
     ranked = ranked_in_group(df, user_col, total_order, count_col, max_group_rows).drop("place")
     part = F.when(F.col("ratio") <= fraction, "train").when(F.col("ratio") <= 1.0, "test")
     return ranked.withColumn("part", part)
@@ -143,12 +146,12 @@ def stratified_parts(
 ) -> DataFrame:
     """Per-user random split as one table with ``count``, ``ratio`` and ``part``.
 
-    ``order="hash"`` orders a user's rows by a seeded hash of ``keys`` and repeats
-    anywhere. ``order="rand"`` draws numbers; they are written once, so that both
+    ``order="hash"`` orders a user's rows by a seeded hash of the user and ``keys``: each
+    user has an order of their own, and it repeats anywhere. ``order="rand"`` draws numbers; they are written once, so that both
     parts see the same draw.
     """
     if order == "hash":
-        return with_user_part(df, fraction, user_col, [hash_order(keys, seed)], count_col, max_group_rows)
+        return with_user_part(df, fraction, user_col, [hash_order([user_col, *keys], seed)], count_col, max_group_rows)
     if order != "rand":
         raise ValueError("order must be 'hash' or 'rand'")
     drawn = durable(df.withColumn("__draw", F.rand(seed)))

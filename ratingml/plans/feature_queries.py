@@ -100,11 +100,11 @@ def frequency_index(spark, sf_dir):
 @query(
     "fea10_frequency_index_in_place",
     """SELECT u.k AS user_id, i.k AS item_id, t.k AS type, j.rating FROM joined j
-       JOIN (SELECT user_id, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) - 1 AS INT) AS k
+       JOIN (SELECT user_id, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) - 1 AS BIGINT) AS k
              FROM joined GROUP BY user_id) u ON j.user_id = u.user_id
-       JOIN (SELECT item_id, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(item_id AS VARCHAR)) - 1 AS INT) AS k
+       JOIN (SELECT item_id, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(item_id AS VARCHAR)) - 1 AS BIGINT) AS k
              FROM joined GROUP BY item_id) i ON j.item_id = i.item_id
-       JOIN (SELECT type, CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS INT) AS k
+       JOIN (SELECT type, CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS BIGINT) AS k
              FROM joined WHERE type IS NOT NULL GROUP BY type) t ON j.type = t.type""",
 )
 def frequency_index_in_place(spark, sf_dir):
@@ -117,9 +117,9 @@ def frequency_index_in_place(spark, sf_dir):
     "fea11_ordinal_index",
     """SELECT j.user_id, j.item_id, u.k AS user_rank, i.k AS item_rank, CAST(t.k AS DOUBLE) AS type_rank
        FROM joined j
-       JOIN (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INT) AS k
+       JOIN (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS BIGINT) AS k
              FROM (SELECT DISTINCT user_id FROM joined) a) u ON j.user_id = u.user_id
-       JOIN (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS k
+       JOIN (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS k
              FROM (SELECT DISTINCT item_id FROM joined) b) i ON j.item_id = i.item_id
        LEFT JOIN (SELECT type, row_number() OVER (ORDER BY type) - 1 AS k
              FROM (SELECT DISTINCT type FROM joined WHERE type IS NOT NULL) c) t ON j.type = t.type""",

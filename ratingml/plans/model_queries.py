@@ -90,13 +90,19 @@ def boosted_small(spark, sf_dir):
     return models.boosted_small().fit(train_rows).transform(test_rows).select(*PAIR, "label", "pred")
 
 
+def _with_type_marked(indexed: DataFrame) -> tuple[DataFrame, int]:
+    """``type`` as a category of as many values as its index has, and that number."""
+    n_types = max(2, (indexed.agg(F.max("type")).first()[0] or 0) + 1)
+    return encoders.mark_categorical(indexed, {"type": n_types}), n_types
+
+
 @query("mod7_boosted_on_categories")
 def boosted_on_categories(spark, sf_dir):
     """Ids and type as indexes, type marked as a category, 77 leaves or more."""
     rows = signal(spark, sf_dir).select(*PAIR, "type", "episodes", "web_rating", "members", "rating")
-    indexed = encoders.mark_categorical(encoders.index_in_place(rows, [*PAIR, "type"]), {"type": 6})
+    indexed, n_types = _with_type_marked(encoders.index_in_place(rows, [*PAIR, "type"]))
     train_rows, test_rows = splits.hash_split(features.assemble_all_but(indexed, "rating"), 0.8, PAIR)
-    fitted = models.boosted_leafwise(max_categories=6).fit(train_rows)
+    fitted = models.boosted_leafwise(max_categories=n_types).fit(train_rows)
     return fitted.transform(test_rows).select(*PAIR, "rating", "pred")
 
 
@@ -188,25 +194,29 @@ def timed_action(spark, sf_dir):
 
 LINE_SQL = """(SELECT regr_intercept(rating, web_rating) AS a, regr_slope(rating, web_rating) AS b
                FROM signal WHERE web_rating IS NOT NULL) m"""
-SCORED_SQL = f"""SELECT user_id, item_id, round(a + b * web_rating, 6) AS pred
-                 FROM signal, {LINE_SQL} WHERE web_rating IS NOT NULL"""
+SCORED_SQL = f"""SELECT user_id, item_id, CASE WHEN web_rating IS NOT NULL THEN round(a + b * web_rating, 6) END AS pred,
+                        CASE WHEN web_rating IS NULL THEN 'null feature: web_rating' END AS reason
+                 FROM signal, {LINE_SQL}"""
 
 
 @query("sco1_score_table", SCORED_SQL)
 def score_table(spark, sf_dir):
     rows = signal(spark, sf_dir).select(*PAIR, "rating", "web_rating")
-    return scoring.score(_one_feature(rows), rows).select(*PAIR, F.round("pred", 6).alias("pred"))
+    found = scoring.score_all(_one_feature(rows), rows, PAIR)
+    return found.select(*PAIR, F.round("pred", 6).alias("pred"), "reason")
 
 
 @query(
     "snk3_src6_sco2_score_with_saved_model",
-    f"SELECT item_id, round(a + b * web_rating, 6) AS pred FROM items, {LINE_SQL} WHERE web_rating IS NOT NULL",
+    f"""SELECT item_id, CASE WHEN web_rating IS NOT NULL THEN round(a + b * web_rating, 6) END AS pred,
+               CASE WHEN web_rating IS NULL THEN 'null feature: web_rating' END AS reason FROM items, {LINE_SQL}""",
 )
 def score_with_saved_model(spark, sf_dir):
     path = scratch_path(spark, "model")
     model_files.save_model(_one_feature(signal(spark, sf_dir)), path)
     requests = items(spark, sf_dir).select("item_id", "name", "type", "web_rating", "members")
-    return scoring.score_saved(spark, path, requests).select("item_id", F.round("pred", 6).alias("pred"))
+    found = scoring.score_all(model_files.load_model(path), requests, ["item_id"])
+    return found.select("item_id", F.round("pred", 6).alias("pred"), "reason")
 
 
 @query(
@@ -264,14 +274,22 @@ def predict_one_vector(spark, sf_dir):
 @query("sco7_score_stream", SCORED_SQL)
 def score_stream(spark, sf_dir):
     """Rows that arrive as files, scored by a stream and read back."""
-    source, target, state = [scratch_path(spark, n) for n in ("requests", "scored", "state")]
+    source, target, state, rejects, reject_state = [
+        scratch_path(spark, n) for n in ("requests", "scored", "state", "rejects", "reject-state")
+    ]
     rows = signal(spark, sf_dir).select(*PAIR, "rating", "web_rating")
     fitted = _one_feature(rows)
     tables.write_parquet(rows.drop("rating"), source)
     arriving = streams.read_requests(spark, source, rows.drop("rating").schema)
     scored = streams.scored_stream(fitted, arriving, output=[*PAIR, F.round("pred", 6).alias("pred")])
-    streams.start_scoring(scored, target, state, available_now=True).awaitTermination()
-    return tables.read_parquet(spark, target)
+    rejected = streams.rejected_stream(fitted, arriving).select(*PAIR, "reason")
+    running = [
+        streams.start_scoring(scored, target, state, available_now=True),
+        streams.start_scoring(rejected, rejects, reject_state, available_now=True),
+    ]
+    for stream in running:
+        stream.awaitTermination()
+    return tables.read_parquet(spark, target).unionByName(tables.read_parquet(spark, rejects), allowMissingColumns=True)
 
 
 @query("snk5_tree_dump")
@@ -461,9 +479,9 @@ def rounds_on_one_flag(spark, sf_dir):
 def boosted_on_one_category(spark, sf_dir):
     """Deep enough trees on the type alone predict the mean of each type."""
     rows = joined(spark, sf_dir).select(*PAIR, "type", "rating")
-    indexed = encoders.mark_categorical(encoders.index_in_place(rows, ["type"]), {"type": 6})
+    indexed, n_types = _with_type_marked(encoders.index_in_place(rows, ["type"]))
     vectors = features.assemble(["type"], "feature", invalid="skip").transform(indexed)
-    fitted = models.boosted_leafwise(max_categories=6).fit(vectors.select("feature", "rating"))
+    fitted = models.boosted_leafwise(max_categories=n_types).fit(vectors.select("feature", "rating"))
     return fitted.transform(vectors).select(*PAIR, F.round("pred", 6).alias("pred"))
 
 

@@ -543,7 +543,7 @@ def word_matches(spark, sf_dir):
 
 # ---------------------------------------------------------------- windows and splits
 
-RATIO_SQL = """row_number() OVER (PARTITION BY user_id ORDER BY md5(concat(item_id, ':42')), item_id)
+RATIO_SQL = """row_number() OVER (PARTITION BY user_id ORDER BY md5(concat(user_id, ':', item_id, ':42')), item_id)
                / CAST(count(item_id) OVER (PARTITION BY user_id) AS DOUBLE)"""
 TIME_RATIO_SQL = """row_number() OVER (PARTITION BY user_id ORDER BY ts ASC NULLS LAST, item_id)
                / nullif(CAST(count(ts) OVER (PARTITION BY user_id) AS DOUBLE), 0)"""
@@ -618,6 +618,21 @@ def stratified_train_and_test(spark, sf_dir):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@query(
+    "spl2_test_rows_of_unseen_items",
+    f""", p AS (SELECT item_id, {PART_SQL} FROM (SELECT *, {RATIO_SQL} AS ratio FROM joined) x)
+        SELECT count(*) AS n_test, count(*) FILTER (seen IS NULL) AS n_unseen
+        FROM p LEFT JOIN (SELECT DISTINCT item_id AS seen FROM p WHERE part = 'train') t ON item_id = seen
+        WHERE part = 'test'""",
+)
+def rows_of_unseen_items(spark, sf_dir):
+    """Test rows whose item no user has in train; few, as each user has an order of their own."""
+    train, test = splits.stratified_split(joined(spark, sf_dir).select("user_id", "item_id"), 0.8)
+    seen = train.select("item_id").distinct().withColumn("seen", F.lit(True))
+    marked = test.join(seen, "item_id", "left")
+    return marked.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("seen").isNull()).alias("n_unseen"))
+
+
 TIME_SPLIT_SQL = f"""SELECT user_id, item_id, ts, n AS "count", ratio, {PART_SQL}
   FROM (SELECT *, count(ts) OVER (PARTITION BY user_id) AS n, {TIME_RATIO_SQL} AS ratio
         FROM (SELECT user_id, item_id, CASE WHEN item_id % 5 <> 0 THEN ts END AS ts FROM joined) t) x"""

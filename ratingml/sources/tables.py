@@ -21,10 +21,15 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def read_label_first(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
-    """Headerless CSV whose first column is the label; the rest keep ``_c<i>``."""
-    raw = spark.read.option("header", False).option("inferSchema", True).csv(path)
-    return raw.withColumnRenamed("_c0", label)
+def read_label_first(spark: SparkSession, path: str, label: str = "label", schema: StructType | str | None = None) -> DataFrame:
+    """Headerless CSV whose first column is the label; the rest keep ``_c<i>``.
+
+    With a ``schema`` (names ``_c0``, ``_c1``, ...) two files get the same types and
+    are read once; without one the types come from one more pass over the file.
+    """
+    reader = spark.read.option("header", False)
+    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
+    return reader.csv(path).withColumnRenamed("_c0", label)
 
 
 def read_delimited_ratings(
@@ -39,16 +44,21 @@ def read_delimited_ratings(
     ``bad_rows="fail"`` stops at a malformed line. ``"keep"`` adds the raw text
     of such lines as ``_bad_line`` (null for good lines).
     """
-    if bad_rows == "fail":
-        return spark.read.schema(schema).options(sep=sep, mode="FAILFAST").csv(path)
-    if bad_rows != "keep":
+    if bad_rows not in ("fail", "keep"):
         raise ValueError("bad_rows must be 'fail' or 'keep'")
-    with_text = StructType(list(schema.fields)).add("_bad_line", "string")
-    return (
-        spark.read.schema(with_text)
-        .options(sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad_line")
-        .csv(path)
-    )
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    fields = F.split("value", "\\Q" + sep + "\\E", -1)
+    typed = [F.trim(F.get(fields, F.lit(i))).try_cast(f.dataType) for i, f in enumerate(schema.fields)]
+    bad = F.size(fields) != len(schema.fields)
+    for value in typed:
+        bad = bad | value.isNull()
+    if bad_rows == "fail":
+        # a filter, so that a count or a read of one column meets the bad lines, too
+        stop = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("boolean")
+        lines = lines.filter(F.when(bad, stop).otherwise(F.lit(True)))
+        return lines.select(*[v.alias(f.name) for v, f in zip(typed, schema.fields)])
+    columns = [F.when(~bad, v).alias(f.name) for v, f in zip(typed, schema.fields)]
+    return lines.select(*columns, F.when(bad, F.col("value")).alias("_bad_line"))
 
 
 def read_dense_matrix(

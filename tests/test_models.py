@@ -159,7 +159,7 @@ def test_holdout_of_a_regressor_ranks_the_smallest_error_first(signal_rows, stag
 
 def test_holdout_of_a_classifier_through_train(signal_rows, stages):
     model = models.Classifier("rf")
-    model.train(signal_rows, evaluate=True, grid={"maxDepth": [2, 5], "numTrees": [10]}, stages=stages())
+    model.train(signal_rows, evaluate=True, holdout={"grid": {"maxDepth": [2, 5]}}, numTrees=10, stages=stages())
     ranked = model.report.ranked.collect()
     assert ranked[0]["metric"] >= ranked[1]["metric"]
     assert model.report.summary.first()["metric"] == "accuracy"

@@ -7,11 +7,10 @@ from ratingml.operators import features, models, scoring
 from ratingml.sources import models as model_files
 from ratingml.streaming import scoring as streams
 
-# Three request rows.
 REQUESTS = [
-    ("Gintama", "PROMO", 13, 8.8, 100000),
-    ("Fate/Zero 2nd Season", "PROMO", 24, 7.7, 40000),
-    ("Hs", "SMALL", 100, 9.0, 10000),
+    ("green walnut shelf", "PROMO", 3, 6.25, 812),
+    ("Lamp/No. 4", "SMALL", 41, 9.5, 77001),
+    ("x", "PROMO", 1, 1.0, 1),
 ]
 
 
@@ -51,7 +50,7 @@ def test_score_requests_from_a_saved_model(spark, saved):
 
 def test_lacking_or_mistyped_field(spark, fitted, saved):
     requests = spark.createDataFrame(REQUESTS, schemas.REQUESTS)
-    with pytest.raises(ValueError, match="lack of feature: name"):
+    with pytest.raises(ValueError, match="missing input columns: name"):
         scoring.score_saved(spark, saved, requests.drop("name"))
     with pytest.raises(ValueError, match="wrong type of feature: episodes"):
         scoring.check_requests(fitted, requests.withColumn("episodes", F.col("episodes").cast("string")))

@@ -41,10 +41,14 @@ def test_delimited_ratings(spark, tmp_path):
     bad = _write(tmp_path / "bad", "1::2::3\n4::5\nx::1::2\n1::2::3::4\n")
     with pytest.raises(Exception):
         tables.read_delimited_ratings(spark, bad, "::").collect()
-    kept = tables.read_delimited_ratings(spark, bad, "::", bad_rows="keep").persist()
+    kept = tables.read_delimited_ratings(spark, bad, "::", bad_rows="keep")
     assert rows_of(kept.filter("_bad_line is null").drop("_bad_line")) == [(1, 2, 3)]
     assert kept.filter("_bad_line is not null").count() == 3
-    kept.unpersist()
+    for i, line in enumerate(["1::2", "1::2::3::4", "1::2::x", "1::::3"]):
+        one = tables.read_delimited_ratings(spark, _write(tmp_path / f"bad{i}", f"1::2::3\n{line}\n"), "::")
+        for read in (one.count, one.select("user_id").collect):
+            with pytest.raises(Exception, match="malformed line"):
+                read()
     with pytest.raises(ValueError):
         tables.read_delimited_ratings(spark, good, "::", bad_rows="ignore")
 

@@ -104,3 +104,20 @@ def test_a_part_can_be_split_again(spark):
     again, validation = splits.stratified_split(train, 0.5)
     assert again.columns == train.columns
     assert (train.count(), again.count(), validation.count()) == (60, 30, 30)
+
+
+def test_every_user_has_an_order_of_their_own(spark):
+    rows = spark.range(200).withColumnRenamed("id", "user_id").crossJoin(spark.range(50).withColumnRenamed("id", "item_id"))
+    parts = splits.stratified_parts(rows, 0.8)
+    shares = parts.groupBy("item_id").agg(F.avg((F.col("part") == "train").cast("int")).alias("share")).collect()
+    assert len(shares) == 50 and all(0.6 < r["share"] < 0.95 for r in shares)
+
+
+def test_names_with_dots_and_rows_that_differ_in_a_map(spark):
+    rows = spark.createDataFrame([(1, 7, {"k": i}, i) for i in range(20)], "user_id long, item_id long, m map<string,int>, `a.b` int")
+    first, second = [
+        sorted((r["a.b"], r["part"]) for r in splits.stratified_parts(df, 0.5).collect()) for df in (rows, rows.repartition(7))
+    ]
+    assert first == second and len(first) == 20
+    maps = [splits.stratified_parts(df.drop("a.b"), 0.5).filter("part = 'train'").select("m.k").collect() for df in (rows, rows.repartition(5))]
+    assert sorted(maps[0]) == sorted(maps[1])
