@@ -244,6 +244,18 @@ class _KeyIndexReader(MLReader):
         return model
 
 
+def sparse_multi_hot(df: DataFrame, values: str, keys: Sequence[str]) -> DataFrame:
+    """``keys, slots``: per row the sorted slots of its distinct values; no bound on the vocabulary.
+
+    Values are numbered in their order over the whole cluster and joined back, so no
+    value list reaches the driver and no column exists per value. Keys tell rows
+    apart. Rows without a value (null or empty array) are left out.
+    """
+    each = df.select(*keys, F.explode(F.array_distinct(values)).alias("__value")).filter(F.col("__value").isNotNull())
+    numbered = number_rows(each.select("__value").distinct(), [F.col("__value").asc()], "__slot")
+    return each.join(numbered, "__value").groupBy(*keys).agg(F.sort_array(F.collect_list("__slot")).alias("slots"))
+
+
 def index_in_place(df: DataFrame, columns: Sequence[str], order: str = "frequency", invalid: str = "skip") -> DataFrame:
     """Replace each column by its int index."""
     temporary = [f"__{c}_index" for c in columns]

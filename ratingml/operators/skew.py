@@ -12,8 +12,9 @@ from ratingml.storage import durable
 
 #: Most rows of one key that a single task should hold.
 MAX_GROUP_ROWS = 5_000_000
-#: Most rows that a side may have to be broadcast by a hint.
+#: Most rows, and most bytes as text, that a side may have to be broadcast by a hint.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 256 << 20
 # numbers that rows without an open key are spread over
 _SPREAD = 1 << 20
 # monotonically_increasing_id puts the partition number above this many bits
@@ -54,7 +55,8 @@ def join(
     if n_hot == 0 or n_hot > MAX_BROADCAST_ROWS:
         return left.join(right, keys, how)
     matching = right.join(F.broadcast(hot), keys, "left_semi")
-    if matching.count() > MAX_BROADCAST_ROWS:
+    size = matching.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    if size[0] > MAX_BROADCAST_ROWS or (size[1] or 0) > MAX_BROADCAST_BYTES:
         return left.join(right, keys, how)
     return _join_hot(left, right, keys, how, hot, matching)
 

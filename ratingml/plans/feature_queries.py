@@ -6,8 +6,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ratingml.functions import element, number_or_null
-from ratingml.operators import clean, encoders, features, profile, splits, text
+from ratingml.functions import element, number_or_null, words
+from ratingml.operators import clean, encoders, features, models, profile, splits, text
 from ratingml.operators.quantiles import exact_median
 from ratingml.plans.fixtures import items, joined, ratings, table
 from ratingml.plans.registry import query
@@ -178,6 +178,22 @@ def multi_hot(spark, sf_dir):
     return found.select("user_id", "item_id", *[F.col(c).cast("double").alias(c) for c in encoder.getOutputCols()])
 
 
+@query(
+    "fea14_agg4_sparse_words",
+    """, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'))) AS value FROM documents),
+         v AS (SELECT value, row_number() OVER (ORDER BY encode(value)) - 1 AS slot FROM (SELECT DISTINCT value FROM w) x)
+       SELECT doc_id, count(*) AS n_values, md5(string_agg(slot::VARCHAR, ',' ORDER BY slot)) AS slots_md5
+       FROM w JOIN v USING (value) GROUP BY doc_id""",
+)
+def sparse_words(spark, sf_dir):
+    """A flag per word of all documents, as slots: the vocabulary is a table of any size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("words"))
+    found = encoders.sparse_multi_hot(docs, "words", ["doc_id"])
+    return found.select(
+        "doc_id", F.size("slots").cast("long").alias("n_values"), F.md5(F.array_join(F.col("slots").cast("array<string>"), ",")).alias("slots_md5")
+    )
+
+
 @query(
     "fea15_multi_hot_learned",
     f"""SELECT item_id, 'genre_' || value AS flag, CAST(list_contains({GENRES_SQL}, value) AS DOUBLE) AS hot
@@ -239,8 +255,10 @@ def standard_scaling(spark, sf_dir):
 @query("fea18_fea21_feature_vector")
 def feature_vector(spark, sf_dir):
     rows = clean.process(joined(spark, sf_dir))
-    fitted = Pipeline(stages=features.feature_stages()).fit(rows)
-    vectors = fitted.transform(rows)
+    stages = features.feature_stages()
+    # each stage is fitted on the rows anew, so they are stored meanwhile
+    with models.kept(rows.select("user_id", "item_id", *models.raw_inputs(stages))) as source:
+        vectors = Pipeline(stages=stages).fit(source).transform(rows)
     return vectors.select("user_id", "item_id", vector_to_array(features.FEATURES).alias("features"))
 
 

@@ -21,8 +21,16 @@ SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, app_name: str = "ratingml", **extra: str) -> SparkSession:
-    """Get or create a session; ``extra`` keys use ``__`` in place of dots."""
+def build_session(
+    master: str | None = None, app_name: str = "ratingml", input_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """Get or create a session; ``extra`` keys use ``__`` in place of dots.
+
+    ``input_bytes`` sets the number of partitions that a shuffle starts with, 128 MB each;
+    adaptive execution merges small ones.
+    """
+    if input_bytes:
+        extra["spark__sql__adaptive__coalescePartitions__initialPartitionNum"] = str(max(200, input_bytes >> 27))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

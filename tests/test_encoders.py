@@ -129,3 +129,9 @@ def test_profile_tables(spark):
     assert profile.shape(df).first().asDict() == {"n_rows": 3, "n_columns": 2}
     assert profile.categories(df, "item_id") == [1, 2]
     assert [r["item_id"] for r in profile.first_rows(df, 1, [F.col("item_id").desc(), F.col("user_id").desc()]).collect()] == [2]
+
+
+def test_sparse_multi_hot(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c"]), (3, []), (4, None), (5, [None, "a"])], "id int, v array<string>")
+    found = {r["id"]: r["slots"] for r in encoders.sparse_multi_hot(df, "v", ["id"]).collect()}
+    assert found == {1: [0, 1], 2: [2], 5: [0]}

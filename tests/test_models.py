@@ -183,3 +183,14 @@ def test_metrics(spark):
     result, row = metrics.timed(spark, df.count, "count")
     assert result == 2 and row.first()["seconds"] > 0
     assert rows_of(row.select("info")) == [("count",)]
+
+
+def test_first_trees_are_the_model_of_fewer_rounds(spark, signal_rows, tmp_path):
+    rows = features.assemble(["web_rating", "members"], "feature", invalid="skip").transform(signal_rows)
+    rows = rows.select("feature", F.col("rating").cast("double").alias("label"))
+    full = models.boosted_small(maxIter=4).fit(rows)
+    short, direct = models.first_trees(full, 2), models.boosted_small(maxIter=2).fit(rows)
+    assert len(short.treeWeights) == 2
+    a, b = [[r[0] for r in m.transform(rows).select(m.getPredictionCol()).limit(50).collect()] for m in (short, direct)]
+    assert a == pytest.approx(b)
+    short.write().overwrite().save(str(tmp_path / "m"))

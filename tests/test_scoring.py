@@ -98,3 +98,11 @@ def test_stream_of_rejects(spark, fitted, tmp_path):
     query = streams.start_scoring(rejected, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
     query.awaitTermination()
     assert [r["reason"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["null feature: name"]
+
+
+def test_every_request_comes_out_once(spark, fitted):
+    broken = [(name, kind, None, rating, members) for name, kind, _, rating, members in REQUESTS]
+    requests = spark.createDataFrame(REQUESTS + broken, schemas.REQUESTS)
+    found = scoring.score_all(fitted, requests, ["name", "episodes"]).collect()
+    assert len(found) == 6 and sum(r["pred"] is None for r in found) == 3
+    assert all((r["pred"] is None) == (r["reason"] == "null feature: episodes") for r in found)
