@@ -402,15 +402,15 @@ def feature_vector_without_text(spark, sf_dir):
 
 @query("tun2_perceptron_search")
 def perceptron_search(spark, sf_dir):
-    """Both layer sets of the grid, at its smallest number of rounds."""
+    """All 18 parameter sets of the perceptron's grid."""
     rows = _labelled(spark, sf_dir)
-    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
-    vectors = vectors.select(features.FEATURES, "label")
-    estimator = models.make_model("mlp", vectors)
-    evaluator = metrics.classification_evaluator()
-    layers = [[estimator.getLayers()[0], *hidden, 3] for hidden in tuning.MLP_HIDDEN]
-    with models.kept(vectors) as stored:
-        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, {"layers": layers}))
+    stages = features.feature_stages(text=None)
+    with models.kept(rows.select(*models.raw_inputs(stages), "label")) as source:
+        vectors = Pipeline(stages=stages).fit(source).transform(source).select(features.FEATURES, "label")
+        with models.kept(vectors) as stored:
+            estimator, evaluator = models.make_model("mlp", stored), metrics.classification_evaluator()
+            grid = tuning.default_grid("mlp", estimator, features.vector_size(stored))
+            fitted = tuning.search(stored, estimator, evaluator, grid)
     return tuning.ranking(spark, fitted, evaluator)
 
 
@@ -496,3 +496,79 @@ def one_vector_per_name(spark, sf_dir):
     return vectors.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("n_vectors"), F.max(F.size("v")).alias("size")
     )
+
+
+# ---------------------------------------------------------------- facts of learned results that SQL can derive
+
+
+@query(
+    "tun1_tun5_sor1_facts_of_the_ranking",
+    """SELECT CAST(6 AS BIGINT) AS n_sets, CAST(6 AS BIGINT) AS n_different, true AS best_first,
+              CAST(count(*) AS BIGINT) AS n_rows FROM signal WHERE rating IS NOT NULL""",
+)
+def facts_of_the_ranking(spark, sf_dir):
+    """The search covers its whole grid and ranks it from the lowest error on."""
+    rows = _labelled(spark, sf_dir)
+    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows).select(features.FEATURES, "rating")
+    estimator, evaluator = models.linear(), metrics.regression_evaluator()
+    with models.kept(vectors) as stored:
+        fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid("glr", estimator))
+        n_rows = stored.count()
+    ranked = tuning.ranking(spark, fitted, evaluator).collect()
+    errors = [r["metric"] for r in ranked]
+    facts = (len(ranked), len({r["params"] for r in ranked}), errors == sorted(errors), n_rows)
+    return spark.createDataFrame([facts], "n_sets long, n_different long, best_first boolean, n_rows long")
+
+
+@query(
+    "mod10_mod11_rows_by_algorithm",
+    """SELECT algorithm, count(*) AS n_rows, count(*) AS n_predicted
+       FROM signal, (VALUES ('mlp'), ('rf'), ('gbdt'), ('glr')) v(algorithm) GROUP BY algorithm""",
+)
+def rows_by_algorithm(spark, sf_dir):
+    """Every predictor of both kinds, trained by name, answers every row."""
+    rows = _labelled(spark, sf_dir)
+    found = None
+    for kind in (models.Classifier, models.Regressor):
+        for name in kind.registry:
+            learner = kind(name)
+            learner.train(rows, stages=features.feature_stages(text=None))
+            counts = learner.transform(rows).agg(F.count(F.lit(1)).alias("n_rows"), F.count("pred").alias("n_predicted"))
+            counts = counts.select(F.lit(name).alias("algorithm"), "n_rows", "n_predicted")
+            found = counts if found is None else found.unionByName(counts)
+    return found
+
+
+@query(
+    "snk5_leaves_of_a_stump",
+    f"""SELECT CAST(0 AS INT) AS tree, round(avg(rating), 6) AS leaf FROM joined GROUP BY {PROMO_SQL}""",
+)
+def leaves_of_a_stump(spark, sf_dir):
+    """The dump of one tree of one split holds the mean of each side."""
+    rows = _promo_rows(joined(spark, sf_dir)).select(F.col("rating").cast("double").alias("label"), F.col(features.FEATURES).alias("feature"))
+    with models.kept(rows) as stored:
+        fitted = models.boosted_small(maxIter=1, maxDepth=1).fit(stored)
+    leaf = F.regexp_extract("text", r"Predict: ([-0-9.Ee]+)", 1)
+    lines = model_files.tree_dump(spark, fitted).filter(leaf != "")
+    return lines.select("tree", F.round(leaf.cast("double"), 6).alias("leaf"))
+
+
+@query("udf3_timed_rows", "SELECT count(*) AS n_rows, true AS took_time FROM joined")
+def timed_rows(spark, sf_dir):
+    count, seconds = metrics.timed(spark, joined(spark, sf_dir).count, "count of joined rows")
+    return seconds.select(F.lit(count).cast("long").alias("n_rows"), (F.col("seconds") > 0).alias("took_time"))
+
+
+@query(
+    "eva2_facts_of_the_holdout",
+    "SELECT 'glr' AS algo, CAST(6 AS BIGINT) AS n_sets, true AS best_is_first, true AS has_holdout FROM (SELECT count(*) AS n FROM signal) s WHERE n > 0",
+)
+def facts_of_the_holdout(spark, sf_dir):
+    report = evaluate_holdout(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
+    first, summary = report.ranked.first(), report.summary
+    return summary.select(
+        "algo",
+        F.lit(report.ranked.count()).cast("long").alias("n_sets"),
+        ((F.col("best_params") == first["params"]) & (F.col("best_validation") == first["metric"])).alias("best_is_first"),
+        (F.col("holdout") > 0).alias("has_holdout"),
+    )
