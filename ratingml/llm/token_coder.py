@@ -286,7 +286,8 @@ class Encoder:
     """Ids of whole texts; pieces between single spaces are looked up."""
 
     REMEMBERED = 400_000
-    _ODD = re.compile(r" \s|\s \s|[\x1c-\x1f\x85   -     　]")
+    #: White space after a space, or white space that not all libraries see alike.
+    _ODD = re.compile(r" \s|[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, tokenizer_file: str, end_id: int = END_ID):
         from tokenizers import Tokenizer, pre_tokenizers
