@@ -30,7 +30,7 @@ def planted(spark, tmp_path_factory):
     docs += [(1000, docs[1][1]), (1001, " ".join([*base[:59], "other"]))]
     docs += [(1002, prose(rng, 20) + ". " + item + ". " + prose(rng, 20)), (1003, item)]
     docs += [(1004, prose(rng, 30) + " write to jane.roe@mail3.example.com or +1 (212) 555-0199"), (1005, None), (1006, "")]
-    docs += [(1007, prose(rng, 40) + " vermin vermin"), (1008, prose(rng, 20_000)), (None, prose(rng, 30))]
+    docs += [(1007, prose(rng, 40) + " you vermin"), (1008, prose(rng, 20_000)), (None, prose(rng, 30))]
     folder = str(tmp_path_factory.mktemp("planted"))
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
