@@ -157,10 +157,8 @@ def holdout_regressor(spark, sf_dir):
 
 @query("eva1_eva2_holdout_classifier")
 def holdout_classifier(spark, sf_dir):
-    report = evaluate_holdout(
-        _labelled(spark, sf_dir), "rf", grid={"maxDepth": [3, 5], "numTrees": [20]}, stages=features.feature_stages(text=None)
-    )
-    return report.ranked
+    """All 72 parameter sets of the forest's grid, ranked on the train part."""
+    return evaluate_holdout(_labelled(spark, sf_dir), "rf").ranked
 
 
 PART_SQL = f"""CASE WHEN {HASH_UNIT_SQL.format("concat(user_id, ':', item_id, ':42')")} < 0.8
@@ -414,28 +412,27 @@ def perceptron_search(spark, sf_dir):
     return tuning.ranking(spark, fitted, evaluator)
 
 
+def _ranked_grid(spark, sf_dir, algo, evaluator, label) -> DataFrame:
+    """Every parameter set of the grid, with the model's own settings and all features, text too."""
+    rows, stages = _labelled(spark, sf_dir), features.feature_stages()
+    with models.kept(rows.select(*models.raw_inputs(stages), label)) as source:
+        vectors = Pipeline(stages=stages).fit(source).transform(source).select(features.FEATURES, label)
+        with models.kept(vectors) as stored:
+            estimator = models.make_model(algo, stored)
+            fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid(algo, estimator))
+    return tuning.ranking(spark, fitted, evaluator)
+
+
 @query("tun3_forest_search")
 def forest_search(spark, sf_dir):
-    """The feature subsets of the grid, at its smallest forest."""
-    rows = _labelled(spark, sf_dir)
-    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
-    estimator, evaluator = models.random_forest(numTrees=20), metrics.classification_evaluator()
-    values = {"featureSubsetStrategy": tuning.GRIDS["rf"]["featureSubsetStrategy"]}
-    with models.kept(vectors.select(features.FEATURES, "label")) as stored:
-        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, values))
-    return tuning.ranking(spark, fitted, evaluator)
+    """All 72 parameter sets of the forest's grid."""
+    return _ranked_grid(spark, sf_dir, "rf", metrics.classification_evaluator(), "label")
 
 
 @query("tun4_boosted_search")
 def boosted_search(spark, sf_dir):
-    """The step sizes and sampling rates of the grid, at its smallest depth."""
-    rows = _labelled(spark, sf_dir)
-    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows)
-    estimator, evaluator = models.boosted(), metrics.regression_evaluator()
-    values = {k: tuning.GRIDS["gbdt"][k] for k in ("stepSize", "subsamplingRate")}
-    with models.kept(vectors.select(features.FEATURES, "rating")) as stored:
-        fitted = tuning.search(stored, estimator, evaluator, tuning.build_grid(estimator, values))
-    return tuning.ranking(spark, fitted, evaluator)
+    """All 96 parameter sets of the boosted trees' grid."""
+    return _ranked_grid(spark, sf_dir, "gbdt", metrics.regression_evaluator(), "rating")
 
 
 @query(
