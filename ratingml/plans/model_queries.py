@@ -251,7 +251,7 @@ def reloaded_model_agrees(spark, sf_dir):
 @query("sco5_fun10_class_probabilities")
 def class_probabilities(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    fitted = models.train(rows, "rf", stages=features.feature_stages(text=None), numTrees=20)
+    fitted = models.train(rows, "rf")
     return scoring.class_output(fitted.transform(rows), PAIR)
 
 
