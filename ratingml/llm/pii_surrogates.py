@@ -35,16 +35,30 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "г-ж
 
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]*"
 _TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
+_EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w@-])"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9])"
+_CARD = r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z]|-[0-9])"
+_SSN = r"(?<![0-9A-Za-z+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+_LOCAL = r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: A further group of an international number, never the start of a mail address or card number. Numbers that are
+#: entities of their own are set apart where the rest is a number without them, else they belong to it.
+_GROUP = rf"(?![ .-]?(?:{_EMAIL}|{_CARD}(?![ -][0-9]{{4}})))[ .-]?[0-9]{{2,4}}"
+_APART = rf"(?![ .-]?(?:{_IP}|{_SSN}|{_CARD})| {_LOCAL})"
+#: Behind a number of more than 15 digits; written out, since a look-behind takes no repeated group.
+_NOT_LONG = r"(?<!\+" + r"[ .()-]{0,3}[0-9]" * 16 + r"[0-9 .()-]{0,30})"
+_WORD = rf"(?!{_EMAIL}|(?:{_TITLES})\.? \p{{Lu}}){_NAME}"
 #: Kinds in the order in which they are tried at a place.
 KINDS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w@-])",
-    "ip": r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])",
+    "email": _EMAIL,
+    "ip": _IP,
     "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,256}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z]|-[0-9])",
-    "ssn": r"(?<![0-9A-Za-z+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}(?![\p{{L}}\p{{N}}])",
+    "card": _CARD,
+    "ssn": _SSN,
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}"
+    rf"(?:(?:{_APART}{_GROUP}){{1,4}}|(?:{_GROUP}){{1,4}})(?![0-9A-Za-z]){_NOT_LONG}"
+    rf"|(?:\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}})(?![0-9A-Za-z]))",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity holds: texts without it are not searched.

@@ -262,6 +262,26 @@ def test_surrogates_keep_kind_form_and_identity(docs_of, edges):
     assert [done[10 + (i or 0)] for i, _ in edges if i not in (5,)] == [t for i, t in edges if i not in (5,)]
 
 
+ADJACENT = [
+    "Ann.B@mail4.example.com", "12@x.com", "106.158.249.239", "186661156f3f9905942d70850a01cbf23a203f82", "4111 1111 1111 1111",
+    "4111111111111111", "123-45-6789", "+1 (826) 555-4081", "+44 20 7946 0958", "(407) 555-7710", "407-555-7710", "Mr. John Smith", "Mrs. Smith",
+]
+
+
+def test_adjacent_entities_are_found_apart(spark):
+    rows = [(f"see {a}{gap}{b}.", a, b) for a in ADJACENT for b in ADJACENT for gap in (" ", ", ", "\n")]
+    found = spark.createDataFrame(rows, "text string, a string, b string").withColumn("found", pii_surrogates.entities(F.col("text")))
+    assert [(r["text"], r["found"]) for r in found.collect() if r["found"] != [r["a"], r["b"]]] == []
+
+
+def test_phone_before_an_address_keeps_its_surrogate(docs_of):
+    docs = docs_of([(1, "+1 (826) 555-4081 190.137.223.204"), (2, "+1 (826) 555-4081"), (3, "190.137.223.204")])
+    done = {r["doc_id"]: r["text"] for r in pii_surrogates.replaced(docs, "k").collect()}
+    assert done[1] == f"{done[2]} {done[3]}" and "204" not in done[1]
+    long = docs_of([(1, "+39 06 12.34.56.78"), (2, "+12345678901234567890")]).select(pii_surrogates.entities(F.col("text")).alias("f"))
+    assert sorted(r["f"] for r in long.collect()) == [[], ["+39 06 12.34.56.78"]]
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # 81 numbers share 81 surrogates, so many first draws collide
     small = spark.createDataFrame([("ip", f"{a}.{b}") for a in range(1, 10) for b in range(1, 8)], "kind string, canonical string")
