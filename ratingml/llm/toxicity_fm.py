@@ -10,7 +10,8 @@ is learned even for pairs that no labelled text holds.
 
 Fitting: on at most ``max_rows`` labelled rows (those with the smallest hash of
 their id), a documented bound, so one task can learn from the hashed sets. Terms in
-fewer than ``min_rows`` of these rows get no weight. Scoring: every row, whole
+fewer than ``MIN_ROWS`` of these rows get no weight; all others are learned, also those whose own
+share of toxic rows is that of chance, since a pair of them may tell. Scoring: every row, whole
 text; the model (a few MB, at most ``BUCKETS`` entries) goes along with the tasks.
 
 Defined results: a null or empty text has no term and scores by the bias alone.
@@ -35,12 +36,19 @@ BUCKETS = 1 << 20
 RANK = 4
 MAX_ROWS = 8_000
 MIN_ROWS = 4
-#: Standard deviations by which a term's share of toxic rows must differ from that of all rows.
-MIN_DEVIATION = 4.0
 EPOCHS = 150
 BATCH = 256
 RATE = 0.3
+#: The penalty of the last epochs, and those of weights and factors in the first ones, which tell the terms that count.
 L1 = 2e-5
+SELECTING = 60
+SELECTING_L1 = (1.5e-3, 2e-3)
+#: Of the first epochs, every so many reads all terms; the others those that are not at 0.
+ALL_TERMS = 10
+#: Least value of a term, so that pairs of words of many texts can be learned.
+MIN_VALUE = 0.4
+#: Spread of the first factors: at 0 no pair would ever be learned.
+START = 0.1
 THRESHOLD = 0.7
 #: Tokens whose terms a scoring process remembers.
 REMEMBERED = 400_000
@@ -101,31 +109,43 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def learn(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Adaptive gradient steps on the logistic loss with a soft threshold, in one fixed order per epoch."""
+    """Adaptive gradient steps on the logistic loss with a soft threshold, in one fixed order per epoch.
+
+    A high threshold in the first epochs leaves the terms that count, alone or in pairs; the others are fitted on these.
+    """
     n = len(sets)
     share = float(labels.mean()) if n else 0.0
     bias = math.log(share / (1 - share)) if 0 < share < 1 else -1.0
     lengths = np.array([len(x) for x in sets], np.int64)
     terms_of = np.concatenate(sets).astype(np.int64) if n else np.zeros(0, np.int64)
     seen, place, counts = np.unique(terms_of, return_inverse=True, return_counts=True)
-    # terms that toxic and clean rows hold equally often say nothing
-    toxic = np.bincount(place, np.repeat(labels, lengths), len(seen))
-    spread = np.sqrt(counts * share * (1 - share))
-    telling = (counts >= MIN_ROWS) & (np.abs(toxic - share * counts) >= MIN_DEVIATION * spread) & (0 < share < 1)
-    buckets, m = seen[telling].astype(np.int32), int(telling.sum())
+    kept = (counts >= MIN_ROWS) & (0 < share < 1)
+    buckets, m = seen[kept].astype(np.int32), int(kept.sum())
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(m), rng.normal(0, 0.01, (m, RANK))
+    w, v = np.zeros(m), rng.normal(0, START, (m, RANK))
     if m == 0:
         return Model(bias, buckets, w, v)
     # rare terms weigh more than words of every text
-    value = np.log((n + 1) / counts[telling]) / math.log(n + 1)
+    value = np.maximum(np.log((n + 1) / counts[kept]) / math.log(n + 1), MIN_VALUE)
     row_of = np.full(len(seen), -1, np.int64)
-    row_of[telling] = np.arange(m)
+    row_of[kept] = np.arange(m)
     ends = np.concatenate([[0], np.cumsum(lengths)])
     known = row_of[place]
-    rows = [own[own >= 0] for own in (known[ends[i] : ends[i + 1]] for i in range(n))]
+    every = [own[own >= 0] for own in (known[ends[i] : ends[i + 1]] for i in range(n))]
+    rows, paired, (l1_w, l1_v) = every, np.ones((m, 1)), SELECTING_L1
     sums_w, sums_v, sum_b = np.full(m, 1e-2), np.full((m, RANK), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        if epoch == SELECTING:
+            live = (w != 0) | (v != 0).any(1)
+            m, row_of = int(live.sum()), np.where(live, np.cumsum(live) - 1, -1)
+            rows = [own[own >= 0] for own in (row_of[r] for r in every)]
+            buckets, value, w, v, sums_w, sums_v = (x[live] for x in (buckets, value, w, v, sums_w, sums_v))
+            paired, l1_w, l1_v = (v != 0).any(1, keepdims=True), L1, L1
+        elif epoch < SELECTING and epoch % ALL_TERMS == 0:
+            rows = every
+        elif epoch < SELECTING and epoch % ALL_TERMS == 1:
+            live = (w != 0) | (v != 0).any(1)
+            rows = [own[live[own]] for own in every]
         order = rng.permutation(n)
         for start in range(0, n, BATCH):
             chosen = order[start : start + BATCH]
@@ -140,12 +160,12 @@ def learn(sets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
             per_term = slope[doc] * x / len(chosen)
             g = np.bincount(at, per_term, m)
             sums_w += g * g
-            w = _shrunk(w - RATE * g / np.sqrt(sums_w), RATE * L1 / np.sqrt(sums_w))
+            w = _shrunk(w - RATE * g / np.sqrt(sums_w), RATE * l1_w / np.sqrt(sums_w))
             for f in range(RANK):
                 g = np.bincount(at, per_term * (total[doc, f] - own[:, f]), m)
                 sums_v[:, f] += g * g
                 pace = RATE / np.sqrt(sums_v[:, f])
-                v[:, f] = _shrunk(v[:, f] - pace * g, pace * L1)
+                v[:, f] = _shrunk(v[:, f] - pace * g, pace * l1_v) * paired[:, 0]
             g = slope.mean()
             sum_b += g * g
             bias -= RATE * g / math.sqrt(sum_b)

@@ -47,6 +47,42 @@ def test_pairs_of_terms_are_learned():
     assert scores[truth == 1].min() > scores[truth == 0].max()
 
 
+def learned_scores(texts, labels, new):
+    known = toxicity_fm._Remembered()
+    model = toxicity_fm.learn([toxicity_fm._set_of(t, known) for t in texts], np.array(labels, float))
+    row_of = np.full(toxicity_fm.BUCKETS, -1, np.int32)
+    row_of[model.buckets] = np.arange(len(model.buckets))
+    known = toxicity_fm._Remembered(row_of)
+    return np.array([toxicity_fm.score_set(toxicity_fm._set_of(t, known), model) for t in new])
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_pairs_count_where_no_single_term_does(one):
+    """Toxic with exactly one of two words, or with both or neither: each word alone is at chance."""
+
+    def table(n, seed):
+        rng = random.Random(seed)
+        marks = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(n)]
+        texts = [" ".join(rng.sample(WORDS, 12) + ["vermin"] * a + ["neighbours"] * b) for a, b in marks]
+        return texts, np.array([(a != b) == one for a, b in marks], float)
+
+    new, truth = table(400, 2)
+    scores = learned_scores(*table(1500, 1), new)
+    assert ((scores >= 0.5) == (truth == 1)).mean() > 0.97
+
+
+def test_many_rare_insults_at_a_balanced_share():
+    """60 insults in about 10 texts each, all of them toxic."""
+
+    def table(n, seed):
+        rng = random.Random(seed)
+        return [" ".join(rng.sample(WORDS, 12) + [f"insult{rng.randrange(60)}"] * (i % 2)) for i in range(n)]
+
+    truth = np.arange(400) % 2
+    scores = learned_scores(table(1200, 1), np.arange(1200) % 2, table(400, 2))
+    assert scores[truth == 1].min() > scores[truth == 0].max()
+
+
 def test_score_is_the_formula():
     model = toxicity_fm.Model(-0.5, np.array([3, 7]), np.array([0.2, -0.1]), np.array([[0.3, 0.1], [0.2, -0.4]]))
     z = -0.5 + 0.2 - 0.1 + (0.3 * 0.2 + 0.1 * -0.4)
