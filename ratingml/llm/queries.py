@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingml.llm import (
+    collocations,
     fm_decontam,
     html_mss,
     minhash_forest,
+    periodic_runs,
     pii_surrogates,
     quality_hosts,
     token_coder,
     toxicity_fm,
+    uniform_shards,
     unigram_pieces,
     url_filter,
     warc_normal,
 )
-from ratingml.llm.common import UPPER, table
+from ratingml.llm.common import UPPER, kept_apart, table
 from ratingml.llm.registry import query
 
 _LISTED_SQL = ", ".join(f"('{k}')" for k in url_filter.LISTED)
@@ -217,3 +220,117 @@ def op6_context_mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_forest_join")
 def op5_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.joined(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op11_hypergeometric_shards")
+def op11_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = uniform_shards.sharded(table(spark, sf_dir, "documents"), shards=24)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query(
+    "op12_stream_collocations",
+    f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+      FROM documents
+    ),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+    totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang),
+    windows AS (
+      SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) v(k)
+            WHERE len(words) >= k) x
+    ),
+    grams AS (SELECT lang, k, phrase, count(*) AS f FROM windows GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+    candidates AS (SELECT *, string_split(phrase, ' ') AS words FROM grams WHERE k > 1),
+    cuts AS (
+      SELECT lang, phrase, f, words, k, unnest(range(1, k)) AS cut FROM candidates
+    ),
+    scored AS (
+      SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r,
+             ({collocations.SCALE}::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+      FROM cuts c
+      JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+      JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ')
+    ),
+    lowest AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+    ),
+    inner_parts AS (
+      SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, f
+      FROM (SELECT lang, words, f, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) v(m) WHERE m < k) x
+    ),
+    covered AS (
+      SELECT DISTINCT g.lang, g.phrase FROM candidates g JOIN inner_parts p ON p.lang = g.lang AND p.phrase = g.phrase
+      WHERE 100 * p.f::HUGEINT >= {collocations.COVERED_PERCENT} * g.f::HUGEINT
+    ),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM lowest s WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = s.lang AND c.phrase = s.phrase)
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+    """,
+)
+def op12_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth document, by the crc32 of its id, repeats a stretch of its words up to its end.
+
+    With h = crc32(id), g = floor(h / 10) and h % 10 = 0, the words from a = g % n on become the first
+    p = 1 + floor((n - a) / (3 + g % 8)) of them, over and over. A row without id stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = kept_apart(
+        docs.select("doc_id", "text"), g=F.floor(h / 10), words=F.when(h % 10 == 0, chosen).otherwise(F.lit(None))
+    )
+    n = F.size("words")
+    rows = kept_apart(rows.withColumn("n", n), a=F.when(n > 0, (F.col("g") % n).cast("int")))
+    length = F.col("n") - F.col("a")
+    p = (F.lit(1) + F.floor(length / (F.lit(3) + F.col("g") % 8))).cast("int")
+    times = F.ceil(length / p).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, p), times))
+    new = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), length)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, new).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_automaton_runs")
+def op13_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # the greatest exponent first, compared as a fraction by cross-multiplication
+    better = (
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), "
+        "(best, r) -> CASE WHEN best IS NULL OR CAST(r.length AS DECIMAL(19, 0)) * CAST(best.period AS DECIMAL(19, 0)) "
+        "> CAST(best.length AS DECIMAL(19, 0)) * CAST(r.period AS DECIMAL(19, 0)) THEN r ELSE best END)"
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.expr(better).alias("best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
