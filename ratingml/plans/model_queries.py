@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingml.operators import clean, encoders, features, metrics, models, scoring, splits, text, tuning
+from ratingml.operators import boosting, clean, encoders, features, metrics, models, scoring, splits, text, tuning
 from ratingml.plans.evaluate import evaluate_holdout
 from ratingml.plans.fixtures import items, joined, signal
 from ratingml.plans.registry import query
 from ratingml.plans.table_queries import HASH_UNIT_SQL, RATIO_SQL
 from ratingml.sources import models as model_files
 from ratingml.sources import tables
-from ratingml.storage import scratch_path
+from ratingml.storage import durable, scratch_path
 from ratingml.streaming import scoring as streams
 
 PAIR = ["user_id", "item_id"]
@@ -84,34 +86,37 @@ def boosted_with_tolerance(spark, sf_dir):
     return fitted.transform(test_rows).select(*PAIR, "label", "pred")
 
 
-@query("mod6_boosted_small")
-def boosted_small(spark, sf_dir):
-    train_rows, test_rows = _matrix(spark, sf_dir)
-    return models.boosted_small().fit(train_rows).transform(test_rows).select(*PAIR, "label", "pred")
+def _numbers(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and test rows with their numbers, gaps left open, and the names of the columns."""
+    names = ["episodes", "web_rating", "members"]
+    return *splits.hash_split(rows.select(*PAIR, *names, F.col("rating").alias("label")), 0.8, PAIR), names
 
 
-def _with_type_marked(indexed: DataFrame) -> tuple[DataFrame, int]:
-    """``type`` as a category of as many values as its index has, and that number."""
-    n_types = max(2, (indexed.agg(F.max("type")).first()[0] or 0) + 1)
-    return encoders.mark_categorical(indexed, {"type": n_types}), n_types
+@query("mod6_boosted_small")
+def boosted_small(spark, sf_dir):
+    """Five second-order rounds of depth 3; missing entries take the side that each cut learned."""
+    train_rows, test_rows, names = _numbers(signal(spark, sf_dir))
+    fitted = boosting.fit(train_rows, names, "label", boosting.DEPTH_THREE)
+    return fitted.model.transform(test_rows).select(*PAIR, "label", "pred")
 
 
 @query("mod7_boosted_on_categories")
 def boosted_on_categories(spark, sf_dir):
-    """Ids and type as indexes, type marked as a category, 77 leaves or more."""
+    """Ids and type as indexes, type cut as a category; leaf-wise trees of 77 leaves."""
     rows = signal(spark, sf_dir).select(*PAIR, "type", "episodes", "web_rating", "members", "rating")
-    indexed, n_types = _with_type_marked(encoders.index_in_place(rows, [*PAIR, "type"]))
-    train_rows, test_rows = splits.hash_split(features.assemble_all_but(indexed, "rating"), 0.8, PAIR)
-    fitted = models.boosted_leafwise(max_categories=n_types).fit(train_rows)
-    return fitted.transform(test_rows).select(*PAIR, "rating", "pred")
+    indexed = durable(encoders.index_in_place(rows, [*PAIR, "type"]))
+    train_rows, test_rows = splits.hash_split(indexed, 0.8, PAIR)
+    names = [c for c in indexed.columns if c != "rating"]
+    fitted = boosting.fit(train_rows, names, "rating", boosting.LEAF_WISE, ["type"], validation=test_rows, patience=5)
+    return fitted.model.transform(test_rows).select(*PAIR, "rating", "pred")
 
 
 @query("mod8_patience")
 def patience(spark, sf_dir):
-    """Metrics of all rounds, and the number of rounds that patience 2 keeps."""
-    train_rows, test_rows = _matrix(spark, sf_dir)
-    fitted, found = models.fit_with_patience(models.boosted_small(), train_rows, test_rows, patience=2)
-    return found.withColumn("kept_rounds", F.lit(len(fitted.treeWeights)))
+    """Metrics of the fitted rounds, and how many were fitted and kept with patience 2."""
+    train_rows, test_rows, names = _numbers(signal(spark, sf_dir))
+    fitted = boosting.fit(train_rows, names, "label", boosting.DEPTH_THREE, validation=test_rows, patience=2)
+    return fitted.metrics.withColumns({"fitted_rounds": F.lit(fitted.fitted_rounds), "kept_rounds": F.lit(fitted.kept_rounds)})
 
 
 @query("mod9_metric_per_round")
@@ -475,11 +480,79 @@ def rounds_on_one_flag(spark, sf_dir):
 )
 def boosted_on_one_category(spark, sf_dir):
     """Deep enough trees on the type alone predict the mean of each type."""
-    rows = joined(spark, sf_dir).select(*PAIR, "type", "rating")
-    indexed, n_types = _with_type_marked(encoders.index_in_place(rows, ["type"]))
-    vectors = features.assemble(["type"], "feature", invalid="skip").transform(indexed)
-    fitted = models.boosted_leafwise(max_categories=n_types).fit(vectors.select("feature", "rating"))
-    return fitted.transform(vectors).select(*PAIR, F.round("pred", 6).alias("pred"))
+    rows = joined(spark, sf_dir).filter("type IS NOT NULL").select(*PAIR, "type", "rating")
+    indexed = durable(encoders.index_in_place(rows, ["type"]))
+    fitted = boosting.fit(indexed, ["type"], "rating", boosting.LEAF_WISE, ["type"])
+    return fitted.model.transform(indexed).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+def _cell(before: str) -> str:
+    """One second-order step for all rows of a cell: step 0.2, l2 1."""
+    return f"({before} + 0.2 * (s - n * {before}) / (n + 1))"
+
+
+@query(
+    "mod5_second_order_on_two_flags",
+    f"""SELECT user_id, item_id, round({_cell(_cell(_cell("0.5::DOUBLE")))}, 6) AS pred FROM (
+          SELECT user_id, item_id, sum(rating) OVER cell AS s, count(*) OVER cell AS n FROM signal
+          WINDOW cell AS (PARTITION BY {PROMO_SQL}, CAST(coalesce(web_rating >= 8, false) AS INT))) x""",
+)
+def second_order_on_two_flags(spark, sf_dir):
+    """Trees of depth 2 tell the four cells of two flags apart; every leaf is a shrunk Newton step."""
+    high = F.coalesce((F.col("web_rating") >= 8).cast("double"), F.lit(0.0)).alias("high")
+    promo = F.coalesce((F.col("type") == "PROMO").cast("double"), F.lit(0.0)).alias("promo")
+    rows = signal(spark, sf_dir).select(*PAIR, "rating", promo, high)
+    fitted = boosting.fit(rows, ["promo", "high"], "rating", replace(boosting.DEPTH_FIVE, rounds=3, depth=2))
+    return fitted.model.transform(rows).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "mod6_side_of_missing_entries",
+    """, planted AS (
+          SELECT user_id, item_id, episodes AS x,
+                 rating + CASE WHEN episodes IS NULL OR episodes > 30 THEN 3 ELSE 0 END AS y FROM signal),
+        whole AS (SELECT sum(y - m) AS g, count(*) AS n, any_value(m) AS m FROM planted, (SELECT avg(y) AS m FROM planted) b),
+        sums AS (SELECT x, sum(y - m) AS g, count(*) AS n FROM planted, (SELECT avg(y) AS m FROM planted) b GROUP BY x),
+        upto AS (
+          SELECT x, sum(g) OVER (ORDER BY x) AS g, sum(n) OVER (ORDER BY x) AS n FROM sums WHERE x IS NOT NULL),
+        cuts AS (
+          SELECT u.x, side, u.g + CASE WHEN side THEN coalesce(k.g, 0) ELSE 0 END AS lg,
+                 u.n + CASE WHEN side THEN coalesce(k.n, 0) ELSE 0 END AS ln
+          FROM upto u CROSS JOIN (VALUES (true), (false)) v(side) LEFT JOIN sums k ON k.x IS NULL),
+        best AS (
+          SELECT c.x AS cut, side, m, lg / (ln + 1) AS low, (g - lg) / (n - ln + 1) AS high FROM cuts c, whole WHERE n > ln
+          ORDER BY round(lg * lg / (ln + 1) + (g - lg) * (g - lg) / (n - ln + 1) - g * g / (n + 1), 9) DESC, c.x, side DESC LIMIT 1)
+        SELECT user_id, item_id, round(m + CASE WHEN coalesce(x <= cut, side) THEN low ELSE high END, 6) AS pred
+        FROM planted, best""",
+)
+def side_of_missing_entries(spark, sf_dir):
+    """One cut, with the side of the missing entries learned: here they go with the large values, 0 does not."""
+    rows = signal(spark, sf_dir).select(
+        *PAIR, "episodes", (F.col("rating") + F.when(F.col("episodes").isNull() | (F.col("episodes") > 30), 3).otherwise(0)).alias("y")
+    )
+    own = boosting.Settings(rounds=1, depth=1, step=1.0, l2=1.0)
+    fitted = boosting.fit(rows, ["episodes"], "y", own)
+    return fitted.model.transform(rows).select(*PAIR, F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "mod8_no_round_after_patience",
+    f"""SELECT CAST(1 AS INT) AS kept_rounds, CAST(3 AS INT) AS fitted_rounds, round(sqrt(avg(power(p - rating, 2))), 6) AS rmse
+        FROM (SELECT *, {PART_SQL} AS part, {PROMO_SQL} AS promo FROM joined) j
+        JOIN (SELECT promo, avg(rating) AS p FROM (SELECT *, {PART_SQL} AS part, {PROMO_SQL} AS promo FROM joined) x
+              WHERE part = 'train' GROUP BY promo) m USING (promo)
+        WHERE part = 'test'""",
+)
+def no_round_after_patience(spark, sf_dir):
+    """The first round reaches the means of one flag; two more show no gain, and the other 17 are not fitted."""
+    promo = F.coalesce((F.col("type") == "PROMO").cast("double"), F.lit(0.0)).alias("promo")
+    train_rows, test_rows = splits.hash_split(joined(spark, sf_dir).select(*PAIR, "rating", promo), 0.8, PAIR)
+    own = replace(boosting.DEPTH_FIVE, step=1.0, l2=0.0)
+    fitted = boosting.fit(train_rows, ["promo"], "rating", own, validation=test_rows, patience=2)
+    first = fitted.metrics.filter((F.col("set") == "validation") & (F.col("round") == 1))
+    return first.select(
+        F.lit(fitted.kept_rounds).alias("kept_rounds"), F.lit(fitted.fitted_rounds).alias("fitted_rounds"), F.round("rmse", 6).alias("rmse")
+    )
 
 
 @query(
