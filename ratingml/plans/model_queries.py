@@ -133,7 +133,7 @@ def train_by_name(spark, sf_dir):
     found = None
     for name in models.REGRESSORS:
         trained = models.Regressor(name)
-        trained.train(rows, stages=features.feature_stages(text=None))
+        trained.train(rows)
         scored = trained.transform(rows).select(*PAIR, F.lit(name).alias("algorithm"), "rating", "pred")
         found = scored if found is None else found.unionByName(scored)
     return found
@@ -144,20 +144,13 @@ def train_by_name(spark, sf_dir):
 
 @query("tun1_tun5_sor1_ranked_search")
 def ranked_search(spark, sf_dir):
-    """The six linear models of the grid, best first."""
-    rows = _labelled(spark, sf_dir)
-    stages = features.feature_stages(text=None)
-    vectors = Pipeline(stages=stages).fit(rows).transform(rows).select(features.FEATURES, "rating")
-    estimator, evaluator = models.linear(), metrics.regression_evaluator()
-    with models.kept(vectors) as stored:
-        fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid("glr", estimator))
-    return tuning.ranking(spark, fitted, evaluator)
+    """The six linear models of the grid on all features, best first."""
+    return _ranked_grid(spark, sf_dir, "glr", metrics.regression_evaluator(), "rating")
 
 
 @query("eva1_eva2_holdout_regressor")
 def holdout_regressor(spark, sf_dir):
-    report = evaluate_holdout(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
-    return report.summary
+    return evaluate_holdout(_labelled(spark, sf_dir), "glr").summary
 
 
 @query("eva1_eva2_holdout_classifier")
@@ -229,7 +222,7 @@ def score_with_saved_model(spark, sf_dir):
        FROM items WHERE TRY_CAST(episodes_raw AS INT) IS NULL OR web_rating IS NULL OR type IS NULL""",
 )
 def rejected_requests(spark, sf_dir):
-    fitted = models.train(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
+    fitted = models.train(_labelled(spark, sf_dir), "glr")
     requests = clean.sentinel_to_number(items(spark, sf_dir), "episodes_raw", value=None, output="episodes")
     return scoring.check_requests(fitted, requests).rejected.select("item_id", "reason")
 
@@ -242,7 +235,7 @@ def reloaded_model_agrees(spark, sf_dir):
     """Predictions of a boosted model before and after saving, row by row."""
     path = scratch_path(spark, "boosted")
     rows = _labelled(spark, sf_dir)
-    fitted = models.train(rows, "gbdt", stages=features.feature_stages(text=None))
+    fitted = models.train(rows, "gbdt")
     model_files.save_model(fitted, path)
     again = model_files.load_model(path)
     both = again.transform(
@@ -403,31 +396,24 @@ def feature_vector_without_text(spark, sf_dir):
     return vectors.select(*PAIR, *[F.round(values[i], 6).alias(f"f{i}") for i in range(8)])
 
 
-@query("tun2_perceptron_search")
-def perceptron_search(spark, sf_dir):
-    """All 18 parameter sets of the perceptron's grid."""
-    rows = _labelled(spark, sf_dir)
-    stages = features.feature_stages(text=None)
-    with models.kept(rows.select(*models.raw_inputs(stages), "label")) as source:
-        vectors = Pipeline(stages=stages).fit(source).transform(source).select(features.FEATURES, "label")
-        with models.kept(vectors) as stored:
-            estimator, evaluator = models.make_model("mlp", stored), metrics.classification_evaluator()
-            grid = tuning.default_grid("mlp", estimator, features.vector_size(stored))
-            fitted = tuning.search(stored, estimator, evaluator, grid)
-    return tuning.ranking(spark, fitted, evaluator)
-
-
 def _ranked_grid(spark, sf_dir, algo, evaluator, label) -> DataFrame:
     """Every parameter set of the grid, with the model's own settings and all features, text too."""
     rows, stages = _labelled(spark, sf_dir), features.feature_stages()
-    with models.kept(rows.select(*models.raw_inputs(stages), label)) as source:
-        vectors = Pipeline(stages=stages).fit(source).transform(source).select(features.FEATURES, label)
+    with models.kept(rows.select(*dict.fromkeys([*PAIR, *models.raw_inputs(stages), label]))) as source:
+        vectors = Pipeline(stages=stages).fit(source).transform(source).select(*PAIR, features.FEATURES, label)
         with models.kept(vectors) as stored:
             estimator = models.make_model(algo, stored)
-            fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid(algo, estimator))
+            grid = tuning.default_grid(algo, estimator, features.vector_size(stored))
+            fitted = tuning.search(stored, estimator, evaluator, grid, keys=PAIR)
     return tuning.ranking(spark, fitted, evaluator)
 
 
+@query("tun2_perceptron_search")
+def perceptron_search(spark, sf_dir):
+    """All 18 parameter sets of the perceptron's grid on all features."""
+    return _ranked_grid(spark, sf_dir, "mlp", metrics.classification_evaluator(), "label")
+
+
 @query("tun3_forest_search")
 def forest_search(spark, sf_dir):
     """All 72 parameter sets of the forest's grid."""
@@ -579,10 +565,10 @@ def one_vector_per_name(spark, sf_dir):
 def facts_of_the_ranking(spark, sf_dir):
     """The search covers its whole grid and ranks it from the lowest error on."""
     rows = _labelled(spark, sf_dir)
-    vectors = Pipeline(stages=features.feature_stages(text=None)).fit(rows).transform(rows).select(features.FEATURES, "rating")
+    vectors = Pipeline(stages=features.feature_stages()).fit(rows).transform(rows).select(*PAIR, features.FEATURES, "rating")
     estimator, evaluator = models.linear(), metrics.regression_evaluator()
     with models.kept(vectors) as stored:
-        fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid("glr", estimator))
+        fitted = tuning.search(stored, estimator, evaluator, tuning.default_grid("glr", estimator), keys=PAIR)
         n_rows = stored.count()
     ranked = tuning.ranking(spark, fitted, evaluator).collect()
     errors = [r["metric"] for r in ranked]
@@ -602,7 +588,7 @@ def rows_by_algorithm(spark, sf_dir):
     for kind in (models.Classifier, models.Regressor):
         for name in kind.registry:
             learner = kind(name)
-            learner.train(rows, stages=features.feature_stages(text=None))
+            learner.train(rows)
             counts = learner.transform(rows).agg(F.count(F.lit(1)).alias("n_rows"), F.count("pred").alias("n_predicted"))
             counts = counts.select(F.lit(name).alias("algorithm"), "n_rows", "n_predicted")
             found = counts if found is None else found.unionByName(counts)
@@ -634,7 +620,7 @@ def timed_rows(spark, sf_dir):
     "SELECT 'glr' AS algo, CAST(6 AS BIGINT) AS n_sets, true AS best_is_first, true AS has_holdout FROM (SELECT count(*) AS n FROM signal) s WHERE n > 0",
 )
 def facts_of_the_holdout(spark, sf_dir):
-    report = evaluate_holdout(_labelled(spark, sf_dir), "glr", stages=features.feature_stages(text=None))
+    report = evaluate_holdout(_labelled(spark, sf_dir), "glr")
     first, summary = report.ranked.first(), report.summary
     return summary.select(
         "algo",
