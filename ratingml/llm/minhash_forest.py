@@ -378,7 +378,7 @@ def with_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, word
 def joined(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, target_recall: float = TARGET_RECALL
 ) -> DataFrame:
-    """One row per document: ``id, class_id, n_links``.
+    """One row per document: ``id, class_id, n_links, text_hash, lead_hash``.
 
     ``class_id`` is the smallest id of all documents that links connect (the document's
     own id without any link); ``n_links`` counts the other documents at or above the threshold.
@@ -408,11 +408,12 @@ def joined(
     found = stored(verified(dealt.join(sets, "class"), threshold), "forest-found")
     links = found.filter("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("n = 0").select("a", "b"), "forest-roots").withColumnRenamed("node", "class")
-    grouped = classes.select("class", "rep", "n_docs").join(roots, "class", "left").join(links, "class", "left")
+    grouped = classes.select("class", "rep", "rep_hash", "n_docs").join(roots, "class", "left").join(links, "class", "left")
     grouped = stored(grouped.withColumn("root", F.coalesce("root", "class")), "forest-grouped")
-    first = grouped.groupBy("root").agg(F.min("rep").alias("first"))
+    first = grouped.groupBy("root").agg(F.min(F.struct("rep", "rep_hash")).alias("lead"))
+    first = first.select("root", F.col("lead.rep").alias("first"), F.col("lead.rep_hash").alias("first_hash"))
     total = F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))
-    result = grouped.join(first, "root").select("class", "first", total.alias("n_links"))
+    result = grouped.join(first, "root").select("class", "first", "first_hash", total.alias("n_links"))
     null_id = F.lit(-(1 << 63))
     out = all_rows.select("id", "text_hash", "class").join(result, "class", "left")
     return out.select(
@@ -420,19 +421,20 @@ def joined(
         F.when(F.col("first").isNull(), F.col("id")).when(F.col("first") != null_id, F.col("first")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "text_hash",
+        F.coalesce("first_hash", "text_hash").alias("lead_hash"),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each connected group: the one with the smallest id (and text hash).
+    """One document of each connected group: the one with the smallest id and, among equal or null ids, text hash.
 
     Repeated rows of that document are one row of the result. Texts without words stay.
     """
     found = joined(docs, id_col, text_col, **options)
-    keyed = found.select(F.col(id_col).alias("__own"), "class_id", F.col("text_hash").alias("__hash"))
-    counts = stored(keyed.groupBy("__own", "class_id", "__hash").agg(F.count(F.lit(1)).alias("__n")), "forest-kept")
+    keyed = found.select(F.col(id_col).alias("__own"), "class_id", F.col("text_hash").alias("__hash"), "lead_hash")
+    counts = stored(keyed.groupBy("__own", "class_id", "__hash", "lead_hash").agg(F.count(F.lit(1)).alias("__n")), "forest-kept")
     same = F.col(id_col).eqNullSafe(F.col("__own")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
-    leads = F.col("__own").eqNullSafe(F.col("class_id"))
+    leads = F.col("__own").eqNullSafe(F.col("class_id")) & (F.col("__hash") == F.col("lead_hash"))
     # few rows go, so those are the side that is sent around
     once = docs.join(counts.filter(~leads | (F.col("__n") > 1)), same, "left_anti")
     copies = docs.join(counts.filter(leads & (F.col("__n") > 1)), same, "left_semi")

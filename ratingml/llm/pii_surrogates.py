@@ -64,7 +64,8 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity holds: texts without it are not searched.
 HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
 
-ATTEMPTS = 64
+#: From this attempt on the values that a surrogate is drawn from grow with each one, so that no form is ever full.
+WIDER_FROM = 8
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Syllables and endings of invented names, by script.
 _SYLLABLES = {
@@ -104,16 +105,24 @@ def _shaped(text: Column, hexes: Column) -> Column:
     )
 
 
-def _email(canonical: Column, own: Column, shared: Column) -> Column:
+def _wider(attempt: Column) -> Column:
+    """How many characters more a surrogate has: none at first, then one per attempt."""
+    return F.greatest(F.lit(0), attempt - (WIDER_FROM - 1))
+
+
+def _email(canonical: Column, own: Column, shared: Column, wider: Column) -> Column:
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
     zone = F.substring_index(domain, ".", -1)
     hosts = F.substring(domain, F.lit(1), F.length(domain) - F.length(zone) - 1)
+    local = F.concat(local, F.repeat(F.lit("a"), wider))
     return F.concat(_shaped(local, own), F.lit("@"), _shaped(hosts, shared), F.lit("."), zone)
 
 
-def _ip(canonical: Column, hexes: Column) -> Column:
+def _ip(canonical: Column, hexes: Column, wider: Column) -> Column:
+    """Parts of as many digits; if wider, all of three, and beyond that (156^4 addresses) more parts."""
+    canonical = F.concat(canonical, F.repeat(F.lit(".000"), F.greatest(F.lit(0), wider - 8)))
     part = lambda p, i: (
-        F.when(F.length(p) == 3, 100 + _number(hexes, i * 8, 156))
+        F.when((F.length(p) == 3) | (wider > 0), 100 + _number(hexes, i * 8, 156))
         .when(F.length(p) == 2, 10 + _number(hexes, i * 8, 90))
         .otherwise(1 + _number(hexes, i * 8, 9))
     )
@@ -143,13 +152,13 @@ def _checked(canonical: Column, number: Column) -> Column:
     return F.when(_luhn(canonical, True) % 10 == 0, right).otherwise(number)
 
 
-def _invented(word: Column, role: Column, script: Column, end: Column, attempt: Column, key: str) -> Column:
-    """Four syllables and an ending; ``role`` keeps given names of both genders and surnames apart."""
+def _invented(word: Column, role: Column, script: Column, end: Column, attempt: Column, wider: Column, key: str) -> Column:
+    """Four syllables, or more if wider, and an ending; ``role`` keeps given names of both genders and surnames apart."""
     hexes = _draw(key, role, word, attempt)
     sounds = F.when(script == "cyrillic", F.array(*[F.lit(s) for s in _SYLLABLES["cyrillic"]])).otherwise(
         F.array(*[F.lit(s) for s in _SYLLABLES["latin"]])
     )
-    picks = F.transform(F.array(*[F.lit(4 * i) for i in range(4)]), lambda at: F.get(sounds, _number(hexes, at, len(_SYLLABLES["latin"]))))
+    picks = F.transform(F.sequence(F.lit(0), wider + 3), lambda i: F.get(sounds, _number(hexes, i * 4, len(_SYLLABLES["latin"]))))
     return F.initcap(F.concat(F.array_join(picks, ""), end))
 
 
@@ -165,14 +174,15 @@ def _name(canonical: Column, kind: Column, attempt: Column, key: str) -> Column:
             found = F.when((script == own_script) & (gender == own_gender), text).otherwise(found)
         return found
 
-    tries = attempt.cast("string")
+    tries, wider = attempt.cast("string"), _wider(attempt)
     given = F.transform(
         F.slice(words, F.lit(1), F.size(words) - 1),
-        lambda w: _invented(w, F.concat(F.lit("given"), gender), script, end(_GIVEN_ENDS), tries, key),
+        lambda w: _invented(w, F.concat(F.lit("given"), gender), script, end(_GIVEN_ENDS), tries, wider, key),
     )
     # only a name without a given name has to try another surname
     last_try = F.when(F.size(words) == 1, tries).otherwise(F.lit("0"))
-    last = _invented(F.element_at(words, -1), F.lit("last"), script, end(_LAST_ENDS), last_try, key)
+    last_wider = F.when(F.size(words) == 1, wider).otherwise(F.lit(0))
+    last = _invented(F.element_at(words, -1), F.lit("last"), script, end(_LAST_ENDS), last_try, last_wider, key)
     return F.array_join(F.concat(given, F.array(last)), " ")
 
 
@@ -210,15 +220,16 @@ def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
         __own=_draw(key, kind, canonical, attempt.cast("string"), blocks=4),
         __domain=_draw(key, F.lit("domain"), domain, blocks=4),
     )
-    own = F.col("__own")
+    own, wider = F.col("__own"), _wider(attempt)
+    more = F.repeat(F.lit("0"), wider)
     code, number = F.substring_index(canonical, "|", 1), F.substring_index(canonical, "|", -1)
     drawn = (
-        F.when(kind == "email", _email(canonical, own, F.col("__domain")))
-        .when(kind == "ip", _ip(canonical, own))
-        .when(kind == "secret", F.substring(own, F.lit(1), F.length(canonical)))
-        .when(kind == "phone", F.concat(code, F.lit("|"), _digits(number, own, F.length(code))))
+        F.when(kind == "email", _email(canonical, own, F.col("__domain"), wider))
+        .when(kind == "ip", _ip(canonical, own, wider))
+        .when(kind == "secret", F.substring(own, F.lit(1), F.length(canonical) + wider))
+        .when(kind == "phone", F.concat(code, F.lit("|"), _digits(F.concat(number, more), own, F.length(code))))
         .when(kind.startswith("name"), _name(canonical, kind, attempt, key))
-        .otherwise(_digits(canonical, own, F.when(kind == "card", 1).otherwise(0)))
+        .otherwise(_digits(F.concat(canonical, more), own, F.when(kind == "card", 1).otherwise(0)))
     )
     rows = kept_apart(rows, __drawn=drawn).drop("__own", "__domain")
     checked = F.when(kind == "card", _checked(canonical, F.col("__drawn"))).otherwise(F.col("__drawn"))
@@ -236,7 +247,8 @@ def written_as(raw: Column, kind: Column, surrogate: Column) -> Column:
             F.rlike(c, F.lit("[0-9]")),
             F.struct(F.concat(acc["text"], F.substring(digits, acc["used"] + 1, F.lit(1))).alias("text"), (acc["used"] + 1).alias("used")),
         ).otherwise(F.struct(F.concat(acc["text"], c).alias("text"), acc["used"].alias("used"))),
-        lambda acc: acc["text"],
+        # a wider surrogate has digits left
+        lambda acc: F.concat(acc["text"], F.substring(digits, acc["used"] + 1, F.length(digits))),
     )
     cased = F.array_join(
         F.zip_with(_characters(raw), _characters(surrogate), lambda a, b: F.when(F.rlike(a, F.lit("[A-Z]")), F.upper(b)).otherwise(b)), ""
@@ -253,9 +265,13 @@ def entities(text: Column) -> Column:
 
 
 def assigned(found: DataFrame, key: str) -> DataFrame:
-    """``kind, canonical, surrogate`` for the distinct entities in ``kind, canonical``, without collisions."""
+    """``kind, canonical, surrogate`` for the distinct entities in ``kind, canonical``, without collisions.
+
+    Entities whose draw collides draw again, from ``WIDER_FROM`` attempts on among longer values, so this ends
+    for any number of entities of one form.
+    """
     rows = stored(found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), "pii-entities")
-    for _ in range(ATTEMPTS):
+    while True:
         drawn = with_surrogate(rows, key)
         drawn = stored(drawn, "pii-drawn")
         group = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
@@ -269,7 +285,6 @@ def assigned(found: DataFrame, key: str) -> DataFrame:
         if checked.filter("again").isEmpty():
             return checked.select("kind", "canonical", "surrogate")
         rows = checked.select("kind", "canonical", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise RuntimeError(f"some surrogates still collide after {ATTEMPTS} attempts")
 
 
 def _comparable(value: Column, kind: Column) -> Column:

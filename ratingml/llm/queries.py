@@ -219,7 +219,7 @@ def op6_context_mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_minhash_forest_join")
 def op5_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_forest.joined(table(spark, sf_dir, "documents")).drop("text_hash")
+    return minhash_forest.joined(table(spark, sf_dir, "documents")).drop("text_hash", "lead_hash")
 
 
 @query("op11_hypergeometric_shards")

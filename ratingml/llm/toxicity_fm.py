@@ -188,14 +188,18 @@ def score_set(rows: np.ndarray, model: Model) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most ``max_rows`` labelled rows that are not held out."""
+    """Learn from at most ``max_rows`` labelled ids that are not held out, one text each."""
     marked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
     marked = marked.filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~is_held_out(F.col("__id")))
     marked = marked.groupBy("__id").agg(F.max("__y").alias("__y"))
     # ids and labels only, so the bounded list is small enough to send to all tasks
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id")
+    # an id has one text, whatever the order of the rows: of several, which only a faulty table has, that of the smallest hash
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(
+        F.min(F.struct(F.xxhash64("__text").alias("hash"), "__text")).alias("__one")
+    )
+    rows = rows.select("__id", "__y", F.col("__one.__text").alias("__text"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Remembered()
@@ -205,9 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
-        whole = pd.concat(parts).sort_values(["id", "y"], kind="stable") if parts else None
-        # copies of an id, which only a faulty table has, count once
-        whole = whole.drop_duplicates("id") if whole is not None else None
+        whole = pd.concat(parts).sort_values("id") if parts else None
         sets = [np.asarray(t, np.int32) for t in whole["terms"]] if whole is not None else []
         y = whole["y"].to_numpy(np.float64) if whole is not None else np.zeros(0)
         model = learn(sets, (y > 0).astype(np.float64))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ratingml.llm.common import quoted, stored
 
 #: Rows that one block of a shard holds on average when a shard is put into its last order.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 20_000
 #: Up to this population numpy's own sampler is exact.
 NUMPY_LIMIT = 1_000_000_000
 

@@ -318,11 +318,29 @@ def test_phone_before_an_address_keeps_its_surrogate(docs_of):
     assert sorted(r["f"] for r in long.collect()) == [[], ["+39 06 12.34.56.78"]]
 
 
+def test_a_wider_surrogate_is_written_whole(spark):
+    raw = spark.createDataFrame(
+        [("123-45-6789", "ssn", "9876543210"), ("1.2.3.4", "ip", "100.101.102.103"), ("A@x.org", "email", "bcd@y.org")],
+        "raw string, kind string, surrogate string",
+    )
+    written = raw.select(pii_surrogates.written_as(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("w"))
+    assert [r["w"] for r in written.collect()] == ["987-65-43210", "100.101.102.103", "Bcd@y.org"]
+
+
+def test_a_crowded_form_gets_distinct_surrogates_in_texts(docs_of):
+    quads = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 6)]
+    done = [r["text"] for r in pii_surrogates.replaced(docs_of([(i, f"see {q} now") for i, q in enumerate(quads)]), "k").collect()]
+    found = [t.split()[1] for t in done]
+    assert len(set(found)) == len(quads) == 3645 and not set(found) & set(quads)
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
-    # 81 numbers share 81 surrogates, so many first draws collide
+    # 63 of the 81 surrogates of their form are real themselves, so most have to become wider
     small = spark.createDataFrame([("ip", f"{a}.{b}") for a in range(1, 10) for b in range(1, 8)], "kind string, canonical string")
     wide = spark.createDataFrame([("ip", f"{a}.{b}.9.9") for a in range(10, 40) for b in range(10, 40)], "kind string, canonical string")
-    for rows in (wide, small.limit(8)):
+    letters = spark.createDataFrame([("email", f"{c}@mail.org") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canonical string")
+    secret = spark.createDataFrame([("ssn", f"{i:01d}") for i in range(10)], "kind string, canonical string")
+    for rows in (wide, small, letters, secret):
         done = pii_surrogates.assigned(rows, "k").collect()
         new, real = [r["surrogate"] for r in done], {r["canonical"] for r in done}
         assert len(done) == rows.count() == len(set(new)) and not real & set(new)
@@ -444,3 +462,19 @@ def test_model_bound_is_a_parameter(spark, docs_of):
     rows = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
     few = toxicity_fm.fit(docs_of(list(enumerate(texts))), rows.withColumn("toxic", F.col("toxic")), max_rows=3)
     assert len(few.buckets) == 0
+
+
+def test_toxicity_model_does_not_depend_on_the_order_of_rows_or_on_repeated_ids(spark, docs_of):
+    pairs = [(i, f"word{i % 7} other{i % 5} " + ("vile slur" if i % 3 == 0 else "kind note")) for i in range(240)]
+    pairs += [(i, f"another text {i}") for i in range(0, 240, 4)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    a, b = (toxicity_fm.fit(docs_of(rows).repartition(n), labels) for rows, n in ((pairs, 1), (pairs[::-1], 5)))
+    assert a.bias == b.bias and (a.buckets == b.buckets).all() and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
+def test_near_copies_without_or_with_one_id_leave_one_document(docs_of):
+    base = " ".join(f"w{i}" for i in range(100))
+    pairs = [(None, base), (None, base + " end"), (None, base), (7, "alone here " * 9)]
+    pairs += [(5, base.replace("w", "v")), (5, base.replace("w", "v") + " end")]
+    left = [tuple(r) for r in minhash_forest.deduplicated(docs_of(pairs)).select("doc_id", "text").collect()]
+    assert sorted((i is None, i) for i, _ in left) == [(False, 5), (False, 7), (True, None)]
