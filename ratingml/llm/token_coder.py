@@ -46,11 +46,14 @@ END_ID = 2
 BLOCK = 2048
 #: Blocks that are coded in step.
 SLAB = 2048
-MAGIC = b"TOKCM02\n"
+MAGIC = b"TOKCM03\n"
 
 _SLOTS = 2048
-_NONE = 65_535
-_CLASSES = 17
+#: No id; ids lie below it.
+_NONE = 0xFFFFFFFF
+#: Ids by their number of bits, up to 16; the last class holds all larger ones.
+_CLASSES = 18
+_LARGE = _CLASSES - 1
 #: Steps after which the order-0 intervals follow their counts.
 _REFRESH = 32
 _U = np.uint64
@@ -63,8 +66,8 @@ class _Model:
     def __init__(self, lanes: int):
         self.lanes = np.arange(lanes)
         self.slot = self.lanes * _SLOTS
-        self.next1 = np.full(lanes * _SLOTS, _NONE, np.uint16)
-        self.next2 = np.full(lanes * _SLOTS, _NONE, np.uint16)
+        self.next1 = np.full(lanes * _SLOTS, _NONE, np.uint32)
+        self.next2 = np.full(lanes * _SLOTS, _NONE, np.uint32)
         self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
         self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
         # chances (of 65536) that the order-2 prediction holds: by its own confidence, by that
@@ -124,8 +127,8 @@ class _Model:
 
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
-    """Number of bits of an id."""
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    """Number of bits of an id, or the class of large ones."""
+    return np.minimum(np.frexp(ids.astype(np.float64))[1].astype(np.int64), _LARGE)
 
 
 class _Range:
@@ -203,8 +206,10 @@ class _Reader(_Range):
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Code blocks of ids (longest first) in step; each result stands alone."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(lengths.max()), len(blocks)), np.int32)
+    ids = np.zeros((int(lengths.max()), len(blocks)), np.uint32)
     for lane, block in enumerate(blocks):
+        if len(block) and not 0 <= int(block.min()) <= int(block.max()) < _NONE:
+            raise ValueError(f"an id lies from 0 to {_NONE - 1}")
         ids[: len(block), lane] = block
     model, coder = _Model(len(blocks)), _Writer(len(blocks), 4 * len(ids) + 16)
     for at in range(len(ids)):
@@ -229,9 +234,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         bits = np.maximum(kind - 1, 0)
         first = model.ends[lanes, kind]
         coder.narrow(lanes, coder.width[lanes] >> _U(12), first, model.ends[lanes, kind + 1] - first)
-        inner = np.where(kind == 0, 0, values - (1 << bits))
+        large = kind == _LARGE
+        inner = np.where(kind == 0, 0, np.where(large, values >> 16, values - (1 << bits)))
         coder.narrow(lanes, coder.width[lanes] >> bits.astype(np.uint64), inner, np.ones_like(inner))
         coder.settle(lanes)
+        if large.any():
+            # the upper half of a large id is coded, now the lower one
+            some, low = lanes[large], values[large] & 65_535
+            coder.narrow(some, coder.width[some] >> _U(16), low, np.ones_like(low))
+            coder.settle(some)
         model.counts[lanes, kind] += 4
         model.learn(on, now)
         if at % _REFRESH == 0:
@@ -243,7 +254,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def decode_blocks(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """Blocks back from their bytes; lengths from the longest to the shortest."""
     sizes = np.array(lengths)
-    ids = np.zeros((int(sizes.max()), len(data)), np.int32)
+    ids = np.zeros((int(sizes.max()), len(data)), np.uint32)
     model, coder = _Model(len(data)), _Reader(data)
     for at in range(len(ids)):
         on = model.lanes[: int((sizes > at).sum())]
@@ -273,8 +284,17 @@ def decode_blocks(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         inner = coder.number(lanes, unit, (1 << bits) - 1)
         coder.narrow(lanes, unit, inner, np.ones_like(inner))
         coder.settle(lanes)
+        large = kind == _LARGE
+        values = np.where(kind == 0, 0, np.where(large, inner << 16, (1 << bits) + inner))
+        if large.any():
+            some = lanes[large]
+            unit = coder.width[some] >> _U(16)
+            low = coder.number(some, unit, 65_535)
+            coder.narrow(some, unit, low, np.ones_like(low))
+            coder.settle(some)
+            values[large] += low
         model.counts[lanes, kind] += 4
-        now[rest] = np.where(kind == 0, 0, (1 << bits) + inner)
+        now[rest] = values
         ids[at, : len(on)] = now
         model.learn(on, now)
         if at % _REFRESH == 0:

@@ -19,6 +19,7 @@ page_id of a payload are all responses. A null page_id counts as the smallest.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import zlib
@@ -201,6 +202,8 @@ def parsed(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     size = len(payload)
     if fields["warc-type"] == "revisit":
         size = int(fields_of(http)["content-length"])
+    elif hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError(f"{fields['warc-record-id']}: the payload does not have the digest of its header")
     return _number(fields["warc-record-id"]), size, digest, fields["warc-type"], _number(fields.get("warc-refers-to"))
 
 

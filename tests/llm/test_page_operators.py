@@ -1,5 +1,6 @@
 """Main text, url verdicts, WARC archives and token files on small fixtures."""
 
+import hashlib
 import io
 import random
 import zlib
@@ -121,7 +122,8 @@ def test_archives_keep_every_record(spark):
 
 
 def test_members_stand_alone():
-    records = [warc_normal.record_of(i, f"http://h/{i}", b"\r\n\r\n" * i, "00" * 20, None) for i in range(9)]
+    payloads = [b"\r\n\r\n" * i for i in range(9)]
+    records = [warc_normal.record_of(i, f"http://h/{i}", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
     stream = zlib.compress(b"".join(records[:5]), 6, 31) + zlib.compress(b"".join(records[5:]), 6, 31)
     archive, index = io.BytesIO(), io.BytesIO()
     assert warc_normal.normalise_file(io.BytesIO(stream), archive, index) == 9
@@ -133,6 +135,9 @@ def test_members_stand_alone():
         assert zlib.decompress(member, 31) == records[i] and warc_normal.parsed(member)[:2] == (i, 4 * i)
     with pytest.raises(ValueError):
         warc_normal.normalise_file(io.BytesIO(zlib.compress(records[0][:-3], 6, 31)), io.BytesIO(), io.BytesIO())
+    changed = warc_normal.record_of(1, "http://h/1", b"other bytes", hashlib.sha1(b"bytes").hexdigest(), None)
+    with pytest.raises(ValueError, match="digest"):
+        warc_normal.parsed(zlib.compress(changed, 6, 31))
 
 
 # -- token files
@@ -153,6 +158,16 @@ class Kept(io.BytesIO):
         pass
 
 
+def test_ids_of_any_32_bit_size():
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 2**32 - 1, 300), rng.integers(0, 200_000, 250), np.tile([0, 1, 65_535, 65_536, 2**32 - 2], 20), np.array([200_000])]
+    coded = token_coder.encode_blocks(blocks)
+    for block, back in zip(blocks, token_coder.decode_blocks(coded, [len(b) for b in blocks])):
+        assert np.array_equal(block, back)
+    with pytest.raises(ValueError):
+        token_coder.encode_blocks([np.array([2**32 - 1])])
+
+
 def test_damage_is_noticed():
     out = Kept()
     writer = token_coder.FileWriter(out)
