@@ -249,11 +249,15 @@ def sparse_multi_hot(df: DataFrame, values: str, keys: Sequence[str]) -> DataFra
 
     Values are numbered in their order over the whole cluster and joined back, so no
     value list reaches the driver and no column exists per value. Keys tell rows
-    apart. Rows without a value (null or empty array) are left out.
+    apart. Rows without a value (null or empty array, or nulls only) have no slot.
     """
-    each = df.select(*keys, F.explode(F.array_distinct(values)).alias("__value")).filter(F.col("__value").isNotNull())
+    present = F.filter(F.array_distinct(values), lambda v: v.isNotNull())
+    each = df.select(*keys, F.explode(present).alias("__value"))
     numbered = number_rows(each.select("__value").distinct(), [F.col("__value").asc()], "__slot")
-    return each.join(numbered, "__value").groupBy(*keys).agg(F.sort_array(F.collect_list("__slot")).alias("slots"))
+    found = each.join(numbered, "__value").groupBy(*keys).agg(F.sort_array(F.collect_list("__slot")).alias("slots"))
+    # apart, so that rows without a value need no shuffle
+    bare = df.filter(F.coalesce(F.size(present), F.lit(0)) <= 0).select(*keys, F.array().cast("array<bigint>").alias("slots"))
+    return found.unionByName(bare)
 
 
 def index_in_place(df: DataFrame, columns: Sequence[str], order: str = "frequency", invalid: str = "skip") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.ml.feature import RegexTokenizer, Word2Vec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingml.functions import spread, words
+from ratingml.functions import words
+from ratingml.operators import embeddings
 
 
 def split_tokenizer(text: str = "name", output: str = "words", min_length: int = 1) -> RegexTokenizer:
@@ -65,17 +66,11 @@ def transform_text(df: DataFrame, text: str = "name", size: int = 16, partitions
     return Pipeline(stages=stages).fit(df).transform(df).select(text, "words", "word_vectors")
 
 
-def document_vectors(
-    df: DataFrame, text: str = "name", size: int = 20, seed: int = 2020, partitions: int | None = None
-) -> DataFrame:
-    """Add ``<text>_vectors_1..size``: word vectors (window 5) averaged per row.
+def document_vectors(df: DataFrame, text: str = "name", size: int = 20, seed: int = 2020, min_count: int = 1) -> DataFrame:
+    """Add ``<text>_vectors_1..size``: one learned vector per document (paragraph vectors, see ``embeddings``).
 
-    This stands in for a trained paragraph-vector model: the same columns and
-    use, not the same numbers.
+    Equal texts have one vector. A null text, or one without words, has zeros.
     """
-    stages = [
-        match_tokenizer(text, "__words"),
-        word_vectors("__words", "__vector", size=size, min_count=1, window=5, seed=seed, partitions=partitions),
-    ]
-    fitted = Pipeline(stages=stages).fit(df).transform(df)
-    return fitted.select(*[F.col(c) for c in df.columns], *spread("__vector", size, f"{text}_vectors_"))
+    own = embeddings.Settings(size=size, seed=seed, min_count=min_count)
+    found = embeddings.learn(df, text, own).transform(df, text, f"{text}_vectors_")
+    return found.fillna(0.0, [f"{text}_vectors_{i}" for i in range(1, size + 1)])

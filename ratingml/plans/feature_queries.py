@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ratingml.functions import element, number_or_null, words
+from ratingml.functions import element, number_or_null, spread, words
 from ratingml.operators import clean, encoders, features, models, profile, splits, text
 from ratingml.operators.quantiles import exact_median
 from ratingml.plans.fixtures import items, joined, ratings, table
@@ -73,6 +73,32 @@ def document_vector_columns(spark, sf_dir):
     return text.document_vectors(items(spark, sf_dir).select("item_id", "name"))
 
 
+@query(
+    "fea7_vector_as_columns",
+    "SELECT user_id, item_id, CAST(members AS DOUBLE) AS v_1, web_rating AS v_2, CAST(rating AS DOUBLE) AS v_3 FROM joined WHERE web_rating IS NOT NULL",
+)
+def vector_as_columns(spark, sf_dir):
+    """The entries of a vector column, one column each."""
+    rows = joined(spark, sf_dir).filter("web_rating IS NOT NULL")
+    vectors = features.assemble(["members", "web_rating", "rating"], "v").transform(rows)
+    return vectors.select("user_id", "item_id", *spread("v", 3, "v_"))
+
+
+@query(
+    "fea6_one_vector_per_name",
+    """SELECT name, count(*) AS n, CAST(1 AS BIGINT) AS n_vectors, CAST(20 AS BIGINT) AS size FROM items GROUP BY name""",
+)
+def one_vector_per_name(spark, sf_dir):
+    """Items of one name have one learned vector, of 20 numbers."""
+    found = document_vector_columns(spark, sf_dir)
+    entries = F.array(*[c for c in found.columns if c.startswith("name_vectors_")])
+    return found.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(entries).alias("n_vectors"),
+        F.max(F.size(F.filter(entries, lambda x: x.isNotNull()))).cast("long").alias("size"),
+    )
+
+
 @query("fea8_transform_text")
 def transform_text(spark, sf_dir):
     found = text.transform_text(joined(spark, sf_dir))
@@ -182,8 +208,8 @@ def multi_hot(spark, sf_dir):
     "fea14_agg4_sparse_words",
     """, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'))) AS value FROM documents),
          v AS (SELECT value, row_number() OVER (ORDER BY encode(value)) - 1 AS slot FROM (SELECT DISTINCT value FROM w) x)
-       SELECT doc_id, count(*) AS n_values, md5(string_agg(slot::VARCHAR, ',' ORDER BY slot)) AS slots_md5
-       FROM w JOIN v USING (value) GROUP BY doc_id""",
+       SELECT doc_id, count(slot) AS n_values, md5(coalesce(string_agg(slot::VARCHAR, ',' ORDER BY slot), '')) AS slots_md5
+       FROM (SELECT doc_id FROM documents) d LEFT JOIN (SELECT * FROM w JOIN v USING (value)) f USING (doc_id) GROUP BY doc_id""",
 )
 def sparse_words(spark, sf_dir):
     """A flag per word of all documents, as slots: the vocabulary is a table of any size."""

@@ -352,6 +352,21 @@ def single_tree_probabilities(spark, sf_dir):
     return scored.select(*PAIR, *[F.round(f"prob_{i}", 6).alias(f"prob_{i}") for i in range(3)])
 
 
+@query(
+    "mod1_perceptron_on_one_flag",
+    """SELECT user_id, item_id, CAST(mode(label) OVER (PARTITION BY high) AS DOUBLE) AS pred
+       FROM (SELECT user_id, item_id, coalesce(web_rating >= 8, false) AS high,
+                    CASE WHEN rating >= 9 THEN 2 WHEN rating >= 6 THEN 1 ELSE 0 END AS label FROM signal) s""",
+)
+def perceptron_on_one_flag(spark, sf_dir):
+    """A perceptron of the usual layers on one flag answers each side with its most frequent class."""
+    rows = clean.add_label(signal(spark, sf_dir))
+    rows = rows.withColumn("high", F.coalesce((F.col("web_rating") >= 8).cast("double"), F.lit(0.0)))
+    rows = features.assemble(["high"], features.FEATURES).transform(rows)
+    fitted = models.mlp(1, maxIter=100).fit(rows.select(features.FEATURES, F.col("label").cast("double").alias("label")))
+    return fitted.transform(rows).select(*PAIR, "pred")
+
+
 @query(
     "eva1_holdout_score_of_one_feature",
     f""", parts AS (

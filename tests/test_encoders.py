@@ -134,4 +134,4 @@ def test_profile_tables(spark):
 def test_sparse_multi_hot(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c"]), (3, []), (4, None), (5, [None, "a"])], "id int, v array<string>")
     found = {r["id"]: r["slots"] for r in encoders.sparse_multi_hot(df, "v", ["id"]).collect()}
-    assert found == {1: [0, 1], 2: [2], 5: [0]}
+    assert found == {1: [0, 1], 2: [2], 3: [], 4: [], 5: [0]}

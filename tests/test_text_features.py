@@ -29,9 +29,9 @@ def test_match_tokens_keep_case_and_letters(spark):
 
 
 def test_document_vectors_are_columns(spark):
-    found = text.document_vectors(_names(spark), size=4, partitions=1)
+    found = text.document_vectors(_names(spark), size=4)
     assert found.columns == ["id", "name"] + [f"name_vectors_{i}" for i in range(1, 5)]
-    again = text.document_vectors(_names(spark), size=4, partitions=1)
+    again = text.document_vectors(_names(spark), size=4)
     assert rows_of(found) == rows_of(again)
     assert found.filter("id = 2").first()["name_vectors_1"] == 0.0
 
