@@ -39,6 +39,21 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; all stored tables and files are in it."""
+    return f"{shared_dir(spark).rstrip('/')}/ratingml-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this application."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_run(spark: SparkSession) -> bool:
+    """Delete all that this application stored; tells whether there was anything.
+
+    For the end of an application: DataFrames that were not written elsewhere can no longer be read.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(run_dir(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -84,3 +84,14 @@ def test_headerless_csv_of_flattened_arrays(spark, tmp_path):
 def test_shared_dir_is_the_configured_one(spark):
     assert spark.conf.get("spark.checkpoint.dir") in shared_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_stored_tables_are_in_one_folder_per_run(spark, monkeypatch, tmp_path):
+    import os
+
+    from ratingml import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda session: str(tmp_path))
+    kept = storage.durable(spark.range(3))
+    assert kept.count() == 3 and len(os.listdir(tmp_path)) == 1
+    assert storage.remove_run(spark) and os.listdir(tmp_path) == [] and not storage.remove_run(spark)
