@@ -15,7 +15,7 @@ PAGE_SCHEMA = "page_id long, url string, html string"
 
 # -- main text
 
-PLAIN = html_mss.Weights({"word": 1.0, "link": -1.0, "<article": -30.0, "</article": -30.0}, -0.5)
+PLAIN = html_mss.PLAIN
 
 
 @pytest.mark.parametrize(
@@ -51,10 +51,70 @@ def test_best_stretch_equals_brute_force():
 def test_weights_keep_their_signs(spark):
     pages = ["<body><div>menu menu</div><article><p>word word word word</p></article></body>"] * 5 + ["no label"]
     found = html_mss.fit(spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], PAGE_SCHEMA))
-    assert found.by_key["word"] > 0 and all(w < 0 for k, w in found.by_key.items() if k != "word")
+    words = ("word", "told")
+    assert all(found.by_key[k] > 0 for k in words) and all(w < 0 for k, w in found.by_key.items() if k not in words)
     rows = html_mss.extracted(spark.createDataFrame([(1, None, None), (1, None, pages[0])], PAGE_SCHEMA), found).collect()
     assert [r["text"] for r in rows] == ["", "word word word word"]
-    assert html_mss.fit(spark.createDataFrame([], PAGE_SCHEMA)).by_key["word"] == 1.0
+    assert html_mss.fit(spark.createDataFrame([], PAGE_SCHEMA)) == html_mss.PLAIN
+
+
+TEACHING = "<body><div class=zug>{0} words of a frame</div><div class=page><article><p>{0} words of the text</p><ul><li>an item</ul></article></div></body>"
+TAUGHT = "<body><div class=zug><p>seven words that frame a page here</p></div><div class=page><p>five words of the text</p></div></body>"
+
+
+def test_unknown_class_is_learned(spark):
+    """A class word that no list names is told by the labelled pages; its wrapper class stays content."""
+    pages = [TEACHING.format(i) for i in range(30)]
+    found = html_mss.fit(spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], PAGE_SCHEMA))
+    assert found.elements[".zug"] < html_mss.BAD < 0 < found.elements[".page"]
+    assert html_mss.main_text(TAUGHT, found) == "five words of the text"
+    assert "frame" in html_mss.main_text(TAUGHT, html_mss.PLAIN)
+    # items stand in content on these pages
+    assert html_mss.main_text("<ul><li>one two three four</ul>", found) == "one two three four"
+
+
+def test_listed_class_can_be_unlearned(spark):
+    """A name that starts as no content becomes content where labelled pages wrap their article in it."""
+    pages = [f"<div class=widget><article>{i} words of the text</article></div>" for i in range(200)]
+    found = html_mss.fit(spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], PAGE_SCHEMA))
+    page = "<div class=widget><p>five words of the text</p></div>"
+    assert html_mss.main_text(page, found) == "five words of the text" and html_mss.main_text(page, html_mss.PLAIN) == ""
+
+
+def test_scan_settles_what_no_name_tells():
+    """All that names leave is more than the stretch that the scan finds."""
+    links = "".join(f"<li><a href=/{i}>place {i}</a></li>" for i in range(8))
+    page = f"<ul>{links}</ul><p>a text of some eight words or more</p><p>and one more</p><ul>{links}</ul>"
+    assert html_mss.main_text(page, html_mss.PLAIN) == "a text of some eight words or more\n\nand one more"
+    left = [p.text for p in html_mss.parts_of(page, html_mss.PLAIN) if p.text.strip()]
+    assert len(left) == 18
+
+
+def test_inside_of_an_article():
+    page = "<article><h1>Two words</h1><div class=ad>buy this now at once</div><p>text</p><div id=comments><article>not mine</article></div></article>"
+    teach = html_mss.weights_from(html_mss.counts_of([f"<nav>{i} menu</nav><div class=ad>buy</div><article><p>{i} words</p></article>" for i in range(50)]))
+    for weights in (html_mss.PLAIN, teach):
+        assert html_mss.main_text(page, weights) == "Two words\n\ntext"
+
+
+def test_bound_is_on_labelled_pages(spark):
+    """Pages without a label never use up the bound; an id with several pages counts once; row order changes nothing."""
+    plain = [(i, None, "<p>no label here") for i in range(400)]
+    told = [(1000 + i, None, TEACHING.format(i)) for i in range(6)]
+    again = [(1000, None, TEACHING.format("other")), (None, None, TEACHING.format("null id"))] + told[:2]
+    rows = plain + told + again
+    found = html_mss.fit(spark.createDataFrame(rows, PAGE_SCHEMA), max_pages=6)
+    assert found.elements[".zug"] == pytest.approx(np.log(0.5 / 6.5))
+    assert html_mss.fit(spark.createDataFrame(rows[::-1], PAGE_SCHEMA).repartition(7), max_pages=6) == found
+
+
+def test_clashing_columns_of_pages(spark):
+    rows = spark.createDataFrame([(1, "<p>one", "x", "y", "z")], ["page_id", "html", "__id", "a.b", "text"])
+    assert html_mss.fit(rows) == html_mss.PLAIN
+    assert html_mss.extracted(rows, html_mss.PLAIN, text_col="found").collect()[0].asDict() == {
+        "page_id": 1, "html": "<p>one", "__id": "x", "a.b": "y", "text": "z", "found": "one"
+    }
+    assert html_mss.extracted(rows, html_mss.PLAIN).collect()[0]["text"] == "one"
 
 
 def test_long_page():
