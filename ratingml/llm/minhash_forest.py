@@ -1,18 +1,20 @@
 """Join of texts whose word shingles have a Jaccard similarity of at least a threshold.
 
 Texts with the same set of five-word shingles are one class and stand for each other.
-Every class gets a MinHash signature of ``TREES`` labels of ``DEPTH`` values. A label
-is a path in a prefix trie; classes that share a prefix in some tree are compared.
-The prefix starts at full depth and is shortened until two sets at the threshold share
-one with probability ``target_recall`` (0.9997 at depth 4 of 16 trees for 0.8).
-
-Sharing a prefix only makes a candidate. Whole signatures, then whole shingle sets decide:
-
-1. Groups of a prefix are compared by signature, each pair in the first tree that
-   it shares; pairs well below the threshold end here. What stays are the edges of a
-   spanning forest of each group, not its pairs.
-2. Connected candidates form components; shingle sets go to their component once, and
-   all pairs in it are compared exactly.
+Every class gets a MinHash signature of ``TREES`` labels of ``DEPTH`` values. A tree is a
+prefix trie of its labels, held as sorted labels with the length of the prefix that
+neighbours share:
+
+1. Labels that agree in the shortest prefix meet: that is the length at which two sets at
+   the threshold share a prefix in some tree with probability ``target_recall`` (4 of 8
+   values in 16 trees for 0.8 give 0.9997). There they are sorted.
+2. Matched prefixes are compared at full depth first, by whole signatures; pairs well below
+   the threshold end here. Then the prefix is shortened value by value, and only classes
+   that are not yet connected meet in the larger subtree; a subtree whose classes are all
+   connected is done. This goes on until the target recall is reached.
+3. What agrees are the edges of a spanning forest of each subtree. Connected candidates
+   form components; shingle sets go to their component once, and all pairs in it are
+   compared exactly.
 
 A group or component of any size is cut into blocks, and each pair of blocks is one
 unit of work of bounded size, so no task and no shuffle key holds a whole hot group.
@@ -26,7 +28,7 @@ documents of their own. Classes are told apart by a 64-bit hash of their sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -205,24 +207,79 @@ def _units(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(n, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
-def _pairs_in(block: np.ndarray, lo: int, hi: int, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one unit as index arrays, a bounded number at a time."""
-    n = len(block)
-    if lo == hi:
-        rows = np.arange(n)
-        for i in range(0, n, 256):
-            a, b = np.meshgrid(rows[i : i + 256], rows, indexing="ij")
-            keep = a < b
-            yield start + a[keep], start + b[keep]
-    else:
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for i in range(0, len(left), 256):
-            a, b = np.meshgrid(left[i : i + 256], right, indexing="ij")
-            yield start + a.ravel(), start + b.ravel()
+def sorted_trie(unit: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the labels of each unit, and the prefix length each shares with the one before (-1 at a new unit)."""
+    order = np.lexsort((*labels.T[::-1], unit))
+    rows, owner = labels[order], unit[order]
+    shared = np.full(len(order), -1)
+    same = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(1)
+    shared[1:] = np.where(owner[1:] == owner[:-1], same, -1)
+    return order, shared
+
+
+def descend(
+    shared: np.ndarray, sides: np.ndarray, shortest: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray], batch: int = 100_000
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted labels that agree, from whole labels down to the shortest prefix.
+
+    ``sides`` is 0 or 1 where only members of different blocks are compared, -1 elsewhere. A pair that
+    agreeing pairs already connect is left out, so what comes back connects what all pairs would.
+    """
+    n = len(shared)
+    root = np.arange(n)
+    inner = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal root
+        if waiting:
+            a, b = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            waiting.clear()
+            good = agree(a, b)
+            a, b = a[good], b[good]
+            found.append((a, b))
+            root = _roots(n, root[a], root[b])[root]
+
+    for depth in range(DEPTH, shortest - 1, -1):
+        new = shared < depth
+        subtree = np.cumsum(new) - 1
+        begins = np.append(np.flatnonzero(new), n)
+        # subtrees of one connected class need no longer reach
+        first = root[begins[:-1]]
+        apart = np.zeros(len(begins) - 1, bool)
+        np.logical_or.at(apart, subtree, root != first[subtree])
+        size = 0
+        for at in np.flatnonzero(apart).tolist():
+            start, end = int(begins[at]), int(begins[at + 1])
+            step, i = 8, start
+            while i < end:
+                own, others = np.arange(i, min(end, i + step)), np.arange(i, end)
+                keep = (own[:, None] < others[None, :]) & (root[own][:, None] != root[None, i:end])
+                if depth < DEPTH:
+                    keep &= inner[own][:, None] != inner[None, i:end]
+                if sides[start] >= 0:
+                    keep &= sides[own][:, None] != sides[None, i:end]
+                x, y = np.nonzero(keep)
+                if len(x):
+                    waiting.append((own[x], others[y]))
+                    size += len(x)
+                i += step
+                # the first members of a large subtree connect most of it
+                step = min(256, 2 * step)
+                if size > batch or end - start > 64:
+                    settle()
+                    size = 0
+                    if (root[start:end] == root[start]).all():
+                        break
+        settle()
+        inner = subtree
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    return a, b
 
 
 def candidates(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Edges ``a, b`` of spanning forests of the classes that agree by signature."""
+    """Edges ``a, b`` of spanning forests of the classes that agree by signature; ``depth`` is the shortest prefix."""
     floor = int(np.floor(TREES * DEPTH * (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH)))))
     width = 2 * DEPTH
     prefixes = F.array(
@@ -237,39 +294,31 @@ def candidates(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _runs(batches, ["prefix", "lo", "hi"]):
-            sigs = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, TREES * DEPTH)
-            ids, tree = frame["class"].to_numpy(), frame["tree"].to_numpy()
             bounds = _bounds(frame, ["prefix", "lo", "hi"])
-            block, lo, hi = (frame[c].to_numpy() for c in ("block", "lo", "hi"))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def settle() -> None:
-                nonlocal size
-                if not waiting:
-                    return
-                a, b = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
-                waiting.clear()
-                size = 0
+            unit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            sigs = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, TREES * DEPTH)
+            tree = frame["tree"].to_numpy()
+            order, common = sorted_trie(unit, sigs.reshape(-1, TREES, DEPTH)[np.arange(len(sigs)), tree])
+            sigs, tree, ids = sigs[order], tree[order], frame["class"].to_numpy()[order]
+            block, lo, hi = (frame[c].to_numpy()[order] for c in ("block", "lo", "hi"))
+            owned: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                good = np.zeros(len(a), bool)
                 for at in range(0, len(a), 100_000):
                     x, y = a[at : at + 100_000], b[at : at + 100_000]
                     same = sigs[x] == sigs[y]
-                    good = same.sum(1) >= floor
-                    x, y, same = x[good], y[good], same[good]
-                    # the first tree in which they share the prefix owns the pair
+                    part = same.sum(1) >= floor
+                    good[at : at + 100_000] = part
+                    x, y, same = x[part], y[part], same[part]
+                    # the first tree in which they share the prefix writes the pair; later ones only use it
                     first = same.reshape(-1, TREES, DEPTH)[:, :, :depth].all(2).argmax(1)
                     own = first == tree[x]
-                    found.append((x[own], y[own]))
+                    owned.append((x[own], y[own]))
+                return good
 
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for a, b in _pairs_in(block[start:end], lo[start], hi[start], start):
-                    waiting.append((a, b))
-                    size += len(a)
-                if size > 100_000:
-                    settle()
-            settle()
-            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            descend(common, np.where(lo == hi, -1, (block == hi).astype(int)), depth, agree)
+            a, b = (np.concatenate([f[i] for f in owned]) if owned else np.zeros(0, np.int64) for i in (0, 1))
             root = _roots(len(frame), a, b)
             linked = np.flatnonzero(root != np.arange(len(frame)))
             yield pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})

@@ -181,6 +181,79 @@ def test_prefix_is_shortened_until_the_recall():
     assert minhash_forest.prefix_length(0.99) > depth
 
 
+def _connected(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        old, new = label[a], label[b]
+        label = [new if x == old else x for x in label]
+    return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+
+@pytest.mark.parametrize("batch", [1, 100_000])
+@pytest.mark.parametrize("crossing", [False, True])
+def test_descent_of_the_tries_connects_what_all_pairs_connect(batch, crossing):
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n = int(rng.integers(1, 90))
+        unit = np.sort(rng.integers(0, 3, n))
+        labels = rng.integers(0, 2, (n, minhash_forest.DEPTH)).astype("<u2")
+        order, shared = minhash_forest.sorted_trie(unit, labels)
+        unit, labels = unit[order], labels[order]
+        assert [tuple(r) for r in labels[unit == unit[0]].tolist()] == sorted(map(tuple, labels[unit == unit[0]].tolist()))
+        sides = rng.integers(0, 2, n) if crossing else np.full(n, -1)
+        alike = rng.random((n, n)) < 0.1
+        alike |= alike.T
+        asked = []
+
+        def agree(a, b):
+            asked.extend(zip(a.tolist(), b.tolist()))
+            return alike[a, b]
+
+        a, b = minhash_forest.descend(shared, sides, 4, agree, batch)
+        every = [
+            (i, j)
+            for i in range(n)
+            for j in range(i + 1, n)
+            if unit[i] == unit[j] and (labels[i, :4] == labels[j, :4]).all() and (not crossing or sides[i] != sides[j])
+        ]
+        assert len(asked) == len(set(asked)) and set(asked) <= set(every)
+        assert _connected(n, zip(a.tolist(), b.tolist())) == _connected(n, [p for p in every if alike[p]])
+
+
+def test_full_depth_comes_first_and_connected_labels_stay_apart():
+    """Four equal labels and one that differs in its last value: six pairs at most are asked, and the last one once."""
+    labels = np.array([[1] * 8] * 4 + [[1] * 7 + [2]], "<u2")
+    order, shared = minhash_forest.sorted_trie(np.zeros(5, int), labels)
+    asked = []
+
+    def agree(a, b):
+        asked.append((order[a].tolist(), order[b].tolist()))
+        return np.ones(len(a), bool)
+
+    minhash_forest.descend(shared, np.full(5, -1), 4, agree)
+    assert [len(a) for a, _ in asked] == [6, 4]
+
+
+def test_recall_of_pairs_next_to_the_threshold(spark, docs_of):
+    """Pairs of a similarity from 0.80 to 0.85 by brute force: at least 0.99 of them are linked."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(own)
+        for at in rng.sample(range(0, 200, 8), 4):
+            other[at] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(own), " ".join(other)]
+    near = [
+        i
+        for i in range(0, len(texts), 2)
+        if 0.8 <= (lambda a, b: len(a & b) / len(a | b))(*({tuple(t.split()[j : j + 5]) for j in range(196)} for t in texts[i : i + 2])) <= 0.85
+    ]
+    assert len(near) > 100
+    found = {r["doc_id"]: r["class_id"] for r in minhash_forest.joined(docs_of(list(enumerate(texts)))).collect()}
+    assert sum(found[i] == found[i + 1] for i in near) >= 0.99 * len(near)
+
+
 def test_components_are_the_connected_ones(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
