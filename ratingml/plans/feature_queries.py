@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ratingml.functions import element, number_or_null, spread, words
-from ratingml.operators import clean, encoders, features, models, profile, splits, text
+from ratingml.operators import clean, embeddings, encoders, features, models, profile, splits, text
 from ratingml.operators.quantiles import exact_median
 from ratingml.plans.fixtures import items, joined, ratings, table
 from ratingml.plans.registry import query
@@ -68,6 +68,32 @@ def word_vectors_20(spark, sf_dir):
     return fitted.select("user_id", "item_id", vector_to_array("word_vectors").alias("word_vectors"))
 
 
+_NAME_WORDS_SQL = "list_filter(regexp_split_to_array(lower(name), '\\W+'), lambda x: length(x) >= 1)"
+
+
+@query(
+    "fea5_counted_word_pairs",
+    f"""SELECT w[i] AS center, w[j] AS neighbour, CAST(sum(copies) AS BIGINT) AS n
+       FROM (SELECT copies, w, i, unnest(range(1, len(w) + 1)) AS j
+             FROM (SELECT copies, w, unnest(range(1, len(w) + 1)) AS i
+                   FROM (SELECT {_NAME_WORDS_SQL} AS w, count(*) AS copies FROM joined WHERE name IS NOT NULL GROUP BY name) a) b) c
+       WHERE i <> j AND abs(i - j) <= 5 GROUP BY 1, 2""",
+)
+def counted_word_pairs(spark, sf_dir):
+    """What the counted word vectors are learned from: pairs of words within five places, over all rated rows."""
+    tokens = text.split_tokenizer().transform(joined(spark, sf_dir).select("name").filter("name IS NOT NULL"))
+    pairs = embeddings.window_pairs(tokens, "words", 5)
+    return pairs.select(F.col("doc").alias("center"), F.col("word").alias("neighbour"), F.col("n").cast("long").alias("n"))
+
+
+@query("fea5_counted_word_vectors")
+def counted_word_vectors(spark, sf_dir):
+    """One vector per rated row from the counts of word pairs; no vocabulary on the driver."""
+    tokens = text.split_tokenizer().transform(joined(spark, sf_dir).select("user_id", "item_id", "name").filter("name IS NOT NULL"))
+    found = embeddings.learn_words(tokens, "words").transform(tokens, "words", "word_vectors")
+    return found.select("user_id", "item_id", "word_vectors")
+
+
 @query("fea6_fea7_document_vector_columns")
 def document_vector_columns(spark, sf_dir):
     return text.document_vectors(items(spark, sf_dir).select("item_id", "name"))
