@@ -16,7 +16,7 @@ from ratingml.plans.registry import query
 from ratingml.plans.table_queries import HASH_UNIT_SQL, RATIO_SQL
 from ratingml.sources import models as model_files
 from ratingml.sources import tables
-from ratingml.storage import durable, scratch_path
+from ratingml.storage import durable, scratch_path, spread
 from ratingml.streaming import scoring as streams
 
 PAIR = ["user_id", "item_id"]
@@ -29,7 +29,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 def _matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Train and test rows ``(user_id, item_id, feature, label)`` for boosted trees."""
-    rows = _labelled(spark, sf_dir).select(*PAIR, "rating", "episodes", "web_rating", "members", "type")
+    rows = spread(_labelled(spark, sf_dir).select(*PAIR, "rating", "episodes", "web_rating", "members", "type"))
     wide = encoders.one_hot_columns(rows, "type", prefix="type_").drop("type", "label")
     named = wide.withColumnRenamed("rating", "label")
     inputs = [c for c in named.columns if c not in (*PAIR, "label")]

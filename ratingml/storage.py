@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -39,6 +40,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``durable``, dealt over so many tasks that each holds about ``rows`` rows at most.
+
+    For learners that keep rows in a wider form than a shuffle does: merged partitions, small
+    as they are when they are read, would become large blocks there.
+    """
+    stored = durable(df)
+    parts = math.ceil(stored.count() / rows)
+    return stored.repartition(parts) if parts > stored.sparkSession.sparkContext.defaultParallelism else stored
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application below the shared one; all stored tables and files are in it."""
     return f"{shared_dir(spark).rstrip('/')}/ratingml-{spark.sparkContext.applicationId}"

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
-from ratingml import schemas
+from ratingml import schemas, storage
 from ratingml.sources import tables
 from ratingml.storage import scratch_path, shared_dir
 
@@ -95,3 +95,13 @@ def test_stored_tables_are_in_one_folder_per_run(spark, monkeypatch, tmp_path):
     kept = storage.durable(spark.range(3))
     assert kept.count() == 3 and len(os.listdir(tmp_path)) == 1
     assert storage.remove_run(spark) and os.listdir(tmp_path) == [] and not storage.remove_run(spark)
+
+
+def test_rows_of_a_learner_are_dealt_over_many_tasks(spark):
+    one = spark.range(0, 5000, 1, 1)
+    parts = storage.spread(one, rows=300)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 17 and max(sizes) <= 400
+    assert parts.agg(F.count("id"), F.sum("id")).first()[:] == (5000, 12497500)
+    # few rows stay as they are
+    assert storage.spread(one).rdd.getNumPartitions() == 1
