@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratingml.functions import number_or_null
 from ratingml.operators.clean import drop_unrated
 from ratingml.operators.joins import join_items
+from ratingml.storage import keyed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user_id, item_id, rating, ts``, unique on user and item; -1 is unrated."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
-    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    per_pair = bought.groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(
+    n = lines.count()
+    bought = keyed(lines, n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    per_pair = keyed(bought, n, "o_custkey", "l_partkey").groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(
         F.max("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("o_orderdate").alias("ts")
     )
     rating = F.when(F.col("d") == 0, -1).otherwise(F.col("q").cast("int") % 10 + 1)
@@ -43,7 +45,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated rows with their item; ``episodes`` is null where the text is no number."""
-    rows = join_items(drop_unrated(ratings(spark, sf_dir)), items(spark, sf_dir))
+    rated = drop_unrated(ratings(spark, sf_dir))
+    # there are no more rows than lines
+    rated = keyed(rated, table(spark, sf_dir, "lineitem").count(), "item_id")
+    rows = join_items(rated, items(spark, sf_dir))
     return rows.withColumn("episodes", number_or_null("episodes_raw"))
 
 

@@ -46,11 +46,26 @@ def spread(df: DataFrame, rows: int = 500_000) -> DataFrame:
     For learners that keep rows in a wider form than a shuffle does: merged partitions, small
     as they are when they are read, would become large blocks there.
     """
-    stored = durable(df)
+    return dealt(durable(df), rows)
+
+
+def dealt(stored: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The same for a table that is stored already: one more count of it, and no shuffle while it is small."""
     parts = math.ceil(stored.count() / rows)
     return stored.repartition(parts) if parts > stored.sparkSession.sparkContext.defaultParallelism else stored
 
 
+def keyed(df: DataFrame, rows: int, *keys: str, most: int = 500_000) -> DataFrame:
+    """``df``, of about ``rows`` rows, over so many tasks by its keys that each holds about ``most`` rows.
+
+    For a join or grouping by ``keys`` whose tasks would grow with the table, as the session's number of shuffle
+    partitions is fixed. Unchanged while that number is enough.
+    """
+    parts = math.ceil(rows / most)
+    enough = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if enough else df.repartition(parts, *keys)
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application below the shared one; all stored tables and files are in it."""
     return f"{shared_dir(spark).rstrip('/')}/ratingml-{spark.sparkContext.applicationId}"
