@@ -1,16 +1,24 @@
 """Work that is done once, and tasks that stay bounded while tables grow."""
 
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from ratingml import storage
-from ratingml.operators import splits
+from ratingml.operators import features, metrics, models, splits, tuning
 from ratingml.plans import fixtures
 from tests.conftest import rows_of
 
 PAIR = ["user_id", "item_id"]
 
 
+def counted(monkeypatch, kind):
+    fits, fit = [], kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, df: fits.append(self.extractParamMap()) or fit(self, df))
+    return fits
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     """Lines, orders and parts of 2,000 pairs."""
@@ -50,3 +58,36 @@ def test_small_tables_are_not_dealt(spark):
     assert storage.keyed(df, 4001, "id", most=1000).rdd.getNumPartitions() == 5
     assert storage.dealt(df, 1000) is df
     assert storage.dealt(spark.range(1000), 50).rdd.getNumPartitions() == 20
+
+
+@pytest.fixture(scope="module")
+def vectors(signal_rows):
+    rows = features.assemble(["web_rating", "members", "episodes"], features.FEATURES, invalid="skip").transform(signal_rows)
+    rows = rows.select(*PAIR, features.FEATURES, F.col("label").cast("double").alias("label"), F.col("rating").cast("double").alias("rating")).persist()
+    rows.count()
+    return rows
+
+
+def test_sets_that_spark_fits_alike_are_fitted_once(spark, vectors, monkeypatch):
+    fits = counted(monkeypatch, MultilayerPerceptronClassifier)
+    estimator, scorer = models.mlp(3, hidden=(4,)), metrics.classification_evaluator()
+    grid = tuning.build_grid(estimator, {"stepSize": [0.01, 0.03, 0.05], "maxIter": [2, 9]})
+    found = tuning.search(vectors, estimator, scorer, grid, keys=PAIR)
+    assert len(fits) == 2 + 1  # one per number of iterations, and the best set on all rows
+    rows, held = tuning.fold(vectors, 0.8, PAIR, 2020)
+    assert found.metrics == pytest.approx([scorer.evaluate(estimator.fit(rows, p).transform(held)) for p in grid])
+    assert tuning.ranking(spark, found, scorer).select("params").distinct().count() == 6
+    grid = tuning.build_grid(estimator, {"stepSize": [0.01, 0.03]})
+    assert len({tuning.params_text(tuning._read_params(models.mlp(3, solver="gd"), p)) for p in grid}) == 2
+
+
+def test_a_linear_grid_fits_each_penalty_once(vectors, monkeypatch):
+    fits = counted(monkeypatch, GeneralizedLinearRegression)
+    estimator, scorer = models.linear(), metrics.regression_evaluator()
+    found = tuning.search(vectors, estimator, scorer, tuning.default_grid("glr", estimator), keys=PAIR)
+    assert len(fits) == 3 + 1 and len(found.metrics) == 6
+    rows, held = tuning.fold(vectors, 0.8, PAIR, 2020)
+    assert found.metrics == pytest.approx([scorer.evaluate(estimator.fit(rows, p).transform(held)) for p in found.grid])
+    by_steps = [{estimator.maxIter: n} for n in (20, 50)]
+    for own in (models.linear(family="poisson"), models.linear(link="log")):
+        assert len({tuning.params_text(tuning._read_params(own, p)) for p in by_steps}) == 2
