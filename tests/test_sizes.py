@@ -2,12 +2,13 @@
 
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from ratingml import storage
 from ratingml.operators import features, metrics, models, splits, tuning
-from ratingml.plans import fixtures
+from ratingml.plans import fixtures, jobs
 from tests.conftest import rows_of
 
 PAIR = ["user_id", "item_id"]
@@ -91,3 +92,33 @@ def test_a_linear_grid_fits_each_penalty_once(vectors, monkeypatch):
     by_steps = [{estimator.maxIter: n} for n in (20, 50)]
     for own in (models.linear(family="poisson"), models.linear(link="log")):
         assert len({tuning.params_text(tuning._read_params(own, p)) for p in by_steps}) == 2
+
+
+def test_models_of_the_same_rows_share_their_features(signal_rows, monkeypatch):
+    fits = counted(monkeypatch, Word2Vec)
+    found = {}
+    with models.prepared_rows(signal_rows, [models.CLASS_LABEL, models.RATING]) as prepared:
+        for kind, name, own in ((models.Classifier, "rf", {"numTrees": 2}), (models.Regressor, "glr", {})):
+            learner = kind(name)
+            learner.train(signal_rows, prepared=prepared, **own)
+            found[name] = learner.transform(signal_rows).select(*PAIR, "pred")
+    assert len(fits) == 1
+    alone = models.train(signal_rows, "glr").transform(signal_rows).agg(F.sum("pred")).first()[0]
+    assert found["glr"].agg(F.sum("pred")).first()[0] == pytest.approx(alone)
+    assert found["rf"].count() == signal_rows.count()
+
+
+def test_the_training_job_reads_its_files_once(spark, tmp_path):
+    ratings = spark.range(200).select((F.col("id") % 20).alias("user_id"), (F.col("id") % 10).alias("item_id"), (F.col("id") % 10 + 1).alias("rating"))
+    items = spark.range(10).select(
+        F.col("id").alias("item_id"), F.concat(F.lit("old part "), F.col("id")).alias("name"), F.lit("a").alias("genre"),
+        F.when(F.col("id") % 2 == 0, "TV").otherwise("Movie").alias("type"), (F.col("id") + 1).alias("episodes"), (F.col("id") * 0.5).alias("rating"),
+        F.col("id").alias("members"),
+    )
+    paths = [f"{tmp_path}/{n}" for n in ("ratings", "items", "model")]
+    for df, path in zip((ratings, items), paths):
+        df.write.option("header", True).csv(path)
+    result = jobs.train_and_save(spark, *paths, algo="glr")
+    read = [f for t in ("profile", "predictions") for f in result.tables[t].inputFiles()]
+    assert read and all(f.endswith(".parquet") for f in read)
+    assert result.tables["profile"].first()["n_rows"] == 200
