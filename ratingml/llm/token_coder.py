@@ -45,7 +45,7 @@ from ratingml.llm.common import fresh_path, stored
 END_ID = 2
 BLOCK = 2048
 #: Blocks that are coded in step.
-SLAB = 2048
+SLAB = 4096
 MAGIC = b"TOKCM03\n"
 
 _SLOTS = 2048
@@ -54,6 +54,11 @@ _NONE = 0xFFFFFFFF
 #: Ids by their number of bits, up to 16; the last class holds all larger ones.
 _CLASSES = 18
 _LARGE = _CLASSES - 1
+_BITS = np.append(np.frexp(np.arange(1 << 16))[1].astype(np.int64), _LARGE)
+#: No id followed a context yet.
+_NOTHING = -4
+#: Ids from here on need wider context tables.
+_WIDE = 1 << 29
 #: Steps after which the order-0 intervals follow their counts.
 _REFRESH = 32
 _U = np.uint64
@@ -61,15 +66,18 @@ _TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
 
 
 class _Model:
-    """The state of all blocks of a slab; every block has rows of its own."""
+    """The state of all blocks of a slab; every block has rows of its own.
 
-    def __init__(self, lanes: int):
+    The lanes at work are always the first ``n``, so their state is read and written as slices.
+    """
+
+    def __init__(self, lanes: int, kind: type):
         self.lanes = np.arange(lanes)
         self.slot = self.lanes * _SLOTS
-        self.next1 = np.full(lanes * _SLOTS, _NONE, np.uint32)
-        self.next2 = np.full(lanes * _SLOTS, _NONE, np.uint32)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
+        self.four = self.lanes << 2
+        # by context: the id that followed last, and in the lowest two bits how sure that is
+        self.next1 = np.full(lanes * _SLOTS, _NOTHING, kind)
+        self.next2 = np.full(lanes * _SLOTS, _NOTHING, kind)
         # chances (of 65536) that the order-2 prediction holds: by its own confidence, by that
         # of order 1, and over all; then the same for the order-1 prediction
         self.hold2 = [np.full(lanes * 4, 32_768, np.int64), np.full(lanes * 4, 32_768, np.int64), np.full(lanes, 32_768, np.int64)]
@@ -80,82 +88,96 @@ class _Model:
         self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 intervals (of 4096) from the counts so far."""
+        """Order-0 intervals (of 4096) from the counts so far, one row per class."""
         sums = np.cumsum(self.counts, axis=1)
         # every class keeps a width of one at least
         ends = sums * (4096 - _CLASSES) // sums[:, -1:] + np.arange(1, _CLASSES + 1)
-        self.ends = np.concatenate([np.zeros((len(ends), 1), np.int64), ends], 1)
-
-    def look(self, on: np.ndarray) -> None:
-        last = self.last[on]
-        slot, four = self.slot[on], on << 2
-        self.at1 = slot + ((last * 40_503 >> 4) & (_SLOTS - 1))
-        self.at2 = slot + (((last * 40_503 ^ self.before[on] * 60_493) >> 4) & (_SLOTS - 1))
-        self.guess1, self.guess2 = self.next1[self.at1], self.next2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
+        self.ends = np.zeros((_CLASSES + 1, len(ends)), np.int16)
+        self.ends[1:] = ends.T
+
+    def look(self, n: int) -> None:
+        mixed, slot, four = self.last[:n] * 40_503, self.slot[:n], self.four[:n]
+        self.at1 = slot + ((mixed >> 4) & (_SLOTS - 1))
+        self.at2 = slot + (((mixed ^ self.before[:n] * 60_493) >> 4) & (_SLOTS - 1))
+        next1, next2 = [t.take(at).astype(np.int64) for t, at in ((self.next1, self.at1), (self.next2, self.at2))]
+        self.guess1, self.guess2 = next1 >> 2, next2 >> 2
+        self.s1, self.s2 = next1 & 3, next2 & 3
         self.four1, self.four2 = four + self.s1, four + self.s2
 
-    def chance2(self, on: np.ndarray, some: np.ndarray) -> np.ndarray:
-        """Chance (of 4096) of the order-2 prediction for the places ``some`` of ``on``."""
+    def chance2(self, n: int) -> np.ndarray:
+        """Chance (of 4096) of the order-2 prediction."""
         a, b, c = self.hold2
-        mixed = (2 * a[self.four2[some]] + b[self.four1[some]] + c[on[some]]) >> 6
-        return np.clip(mixed, 16, 4080)
+        self.own = a.take(self.four2), b.take(self.four1), c[:n]
+        return _bounded((2 * self.own[0] + self.own[1] + self.own[2]) >> 6)
 
-    def chance1(self, on: np.ndarray, some: np.ndarray) -> np.ndarray:
+    def chance1(self, n: int) -> np.ndarray:
         a, c = self.hold1
-        return np.clip((a[self.four1[some]] + c[on[some]]) >> 5, 16, 4080)
+        self.own = a.take(self.four1), c[:n]
+        return _bounded((self.own[0] + self.own[1]) >> 5)
+
+    def held2(self, n: int, coded: np.ndarray, hit: np.ndarray) -> None:
+        goal = hit * 65_535
+        for chances, where, own in zip(self.hold2, (self.four2, self.four1, slice(n)), self.own):
+            chances[where] = own + ((goal - own) >> 4) * coded
+
+    def held1(self, n: int, coded: np.ndarray, hit: np.ndarray) -> None:
+        goal = hit * 65_535
+        for chances, where, own in zip(self.hold1, (self.four1, slice(n)), self.own):
+            chances[where] = own + ((goal - own) >> 4) * coded
 
-    def held2(self, on: np.ndarray, some: np.ndarray, hit: np.ndarray) -> None:
-        goal = np.where(hit, 65_535, 0)
-        for chances, where in zip(self.hold2, (self.four2[some], self.four1[some], on[some])):
-            own = chances[where]
-            chances[where] = own + ((goal - own) >> 4)
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        high = ids << 2
+        self.next2[self.at2] = high + np.minimum(self.s2 + 1, 3) * (self.guess2 == ids)
+        self.next1[self.at1] = high + np.minimum(self.s1 + 1, 3) * (self.guess1 == ids)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
 
-    def held1(self, on: np.ndarray, some: np.ndarray, hit: np.ndarray) -> None:
-        goal = np.where(hit, 65_535, 0)
-        for chances, where in zip(self.hold1, (self.four1[some], on[some])):
-            own = chances[where]
-            chances[where] = own + ((goal - own) >> 4)
 
-    def learn(self, on: np.ndarray, ids: np.ndarray) -> None:
-        self.sure2[self.at2] = np.where(self.guess2 == ids, np.minimum(self.s2 + 1, 3), 0)
-        self.sure1[self.at1] = np.where(self.guess1 == ids, np.minimum(self.s1 + 1, 3), 0)
-        self.next2[self.at2] = ids
-        self.next1[self.at1] = ids
-        self.before[on] = self.last[on]
-        self.last[on] = ids
+def _bounded(chance: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(chance, 16), 4080).view(np.uint64)
 
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
     """Number of bits of an id, or the class of large ones."""
-    return np.minimum(np.frexp(ids.astype(np.float64))[1].astype(np.int64), _LARGE)
+    return _BITS.take(np.minimum(ids, len(_BITS) - 1))
 
 
 class _Range:
     """What writing and reading share: an interval per lane, kept above ``_BOTTOM`` without carries."""
 
     def __init__(self, lanes: int):
+        self.lanes = np.arange(lanes)
         self.low = np.zeros(lanes, np.uint64)
         self.width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, lanes: np.ndarray, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        self.low[lanes] += unit * start.astype(np.uint64)
-        self.width[lanes] = unit * width.astype(np.uint64)
+    def decide(self, n: int, unit: np.ndarray, part: np.ndarray, missed: np.ndarray, hit: np.ndarray) -> None:
+        """Go to the lower part of the interval where ``hit``, to the upper one where ``missed``."""
+        low, width = self.low[:n], self.width[:n]
+        low += part * missed
+        np.copyto(width, (unit << _U(12)) - part, where=missed)
+        np.copyto(width, part, where=hit)
+
+    def settle(self, n: int) -> None:
+        self._settle(self.lanes[:n], self.low[:n], self.width[:n])
 
-    def settle(self, lanes: np.ndarray) -> None:
+    def put(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """The intervals of some lanes, settled."""
+        self.low[lanes], self.width[lanes] = low, width
+        self._settle(lanes, low, width)
+
+    def _settle(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
         """Shift out what no longer changes, 16 bits at a time."""
         while True:
-            low, width = self.low[lanes], self.width[lanes]
             same = (low ^ (low + width)) < _TOP
             go = np.flatnonzero(same | (width < _BOTTOM))
             if not len(go):
                 return
-            lanes, low, width, same = lanes[go], low[go], width[go], same[go]
+            lanes, low, width, same = lanes.take(go), low.take(go), width.take(go), same.take(go)
             # an interval across a border is cut there
             width = np.where(same, width, (~low + _U(1)) & (_BOTTOM - _U(1)))
             self.shift(lanes, low)
-            self.low[lanes] = low << _U(16)
-            self.width[lanes] = width << _U(16)
+            low, width = low << _U(16), width << _U(16)
+            self.low[lanes], self.width[lanes] = low, width
 
 
 class _Writer(_Range):
@@ -165,12 +187,13 @@ class _Writer(_Range):
         self.size = np.zeros(lanes, np.int64)
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.size[lanes]] = (low >> _U(48)).astype(np.uint16)
-        self.size[lanes] += 1
+        size = self.size.take(lanes)
+        self.out[lanes, size] = low >> _U(48)
+        self.size[lanes] = size + 1
 
-    def flag(self, lanes: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> None:
-        unit = self.width[lanes] >> _U(12)
-        self.narrow(lanes, unit, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
+    def flag(self, n: int, chance: np.ndarray, coded: np.ndarray, hit: np.ndarray) -> None:
+        unit = self.width[:n] >> _U(12)
+        self.decide(n, unit, unit * chance, coded & ~hit, hit)
 
     def end(self, lanes: np.ndarray) -> None:
         for shift in (48, 32, 16, 0):
@@ -189,18 +212,22 @@ class _Reader(_Range):
         self.at = np.full(len(data), 4, np.int64)
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = np.minimum(self.at[lanes], self.data.shape[1] - 1)
-        self.code[lanes] = (self.code[lanes] << _U(16)) | self.data[lanes, at].astype(np.uint64)
-        self.at[lanes] += 1
-
-    def flag(self, lanes: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        unit = self.width[lanes] >> _U(12)
-        hit = self.code[lanes] - self.low[lanes] < unit * chance.astype(np.uint64)
-        self.narrow(lanes, unit, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
+        at = self.at.take(lanes)
+        more = self.data[lanes, np.minimum(at, self.data.shape[1] - 1)]
+        self.code[lanes] = (self.code.take(lanes) << _U(16)) | more
+        self.at[lanes] = at + 1
+
+    def flag(self, n: int, chance: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        unit = self.width[:n] >> _U(12)
+        part = unit * chance
+        hit = coded & (self.code[:n] - self.low[:n] < part)
+        self.decide(n, unit, part, coded & ~hit, hit)
         return hit
 
-    def number(self, lanes: np.ndarray, unit: np.ndarray, most: np.ndarray | int) -> np.ndarray:
-        return np.minimum(((self.code[lanes] - self.low[lanes]) // unit).astype(np.int64), most)
+
+def _place(code: np.ndarray, unit: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """The unit of an interval in which ``code`` lies."""
+    return np.minimum((code // unit).view(np.int64), most)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -211,92 +238,92 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(block) and not 0 <= int(block.min()) <= int(block.max()) < _NONE:
             raise ValueError(f"an id lies from 0 to {_NONE - 1}")
         ids[: len(block), lane] = block
-    model, coder = _Model(len(blocks)), _Writer(len(blocks), 4 * len(ids) + 16)
-    for at in range(len(ids)):
-        on = model.lanes[: int((lengths > at).sum())]
-        now = ids[at, : len(on)].astype(np.int64)
-        model.look(on)
-        some = np.flatnonzero(model.guess2 != _NONE)
-        hit = now[some] == model.guess2[some]
-        coder.flag(on[some], model.chance2(on, some), hit)
-        model.held2(on, some, hit)
-        open_ = np.ones(len(on), bool)
-        open_[some[hit]] = False
-        some = np.flatnonzero(open_ & (model.guess1 != _NONE) & (model.guess1 != model.guess2))
-        hit = now[some] == model.guess1[some]
-        coder.flag(on[some], model.chance1(on, some), hit)
-        model.held1(on, some, hit)
-        open_[some[hit]] = False
-        coder.settle(on)
-        rest = np.flatnonzero(open_)
-        lanes, values = on[rest], now[rest]
+    kind_of = np.int32 if ids.max(initial=0) < _WIDE else np.int64
+    model, coder = _Model(len(blocks), kind_of), _Writer(len(blocks), 4 * len(ids) + 16)
+    working = (lengths > np.arange(len(ids))[:, None]).sum(1).tolist()
+    for at, n in enumerate(working):
+        now = ids[at, :n].astype(np.int64)
+        model.look(n)
+        coded, hit = model.guess2 >= 0, model.guess2 == now
+        coder.flag(n, model.chance2(n), coded, hit)
+        model.held2(n, coded, hit)
+        open_ = ~hit
+        coded = open_ & (model.guess1 >= 0) & (model.guess1 != model.guess2)
+        hit = coded & (model.guess1 == now)
+        coder.flag(n, model.chance1(n), coded, hit)
+        model.held1(n, coded, hit)
+        open_ &= ~hit
+        coder.settle(n)
+        lanes = np.flatnonzero(open_)
+        values = now.take(lanes)
         kind = _class_of(values)
         bits = np.maximum(kind - 1, 0)
-        first = model.ends[lanes, kind]
-        coder.narrow(lanes, coder.width[lanes] >> _U(12), first, model.ends[lanes, kind + 1] - first)
         large = kind == _LARGE
-        inner = np.where(kind == 0, 0, np.where(large, values >> 16, values - (1 << bits)))
-        coder.narrow(lanes, coder.width[lanes] >> bits.astype(np.uint64), inner, np.ones_like(inner))
-        coder.settle(lanes)
+        inner = np.where(large, values >> 16, (values - (1 << bits)) * (kind > 0))
+        first, end = model.ends[kind, lanes].astype(np.uint64), model.ends[kind + 1, lanes].astype(np.uint64)
+        unit = coder.width.take(lanes) >> _U(12)
+        width = unit * (end - first) >> bits.view(np.uint64)
+        coder.put(lanes, coder.low.take(lanes) + unit * first + width * inner.view(np.uint64), width)
         if large.any():
             # the upper half of a large id is coded, now the lower one
-            some, low = lanes[large], values[large] & 65_535
-            coder.narrow(some, coder.width[some] >> _U(16), low, np.ones_like(low))
-            coder.settle(some)
+            some, low = lanes[large], (values[large] & 65_535).view(np.uint64)
+            width = coder.width[some] >> _U(16)
+            coder.put(some, coder.low[some] + width * low, width)
         model.counts[lanes, kind] += 4
-        model.learn(on, now)
+        model.learn(n, now)
         if at % _REFRESH == 0:
             model.refresh()
     coder.end(model.lanes)
     return [coder.out[i, : coder.size[i]].tobytes() for i in range(len(blocks))]
 
 
-def decode_blocks(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(data: list[bytes], lengths: list[int], kind_of: type = np.int32) -> list[np.ndarray]:
     """Blocks back from their bytes; lengths from the longest to the shortest."""
     sizes = np.array(lengths)
     ids = np.zeros((int(sizes.max()), len(data)), np.uint32)
-    model, coder = _Model(len(data)), _Reader(data)
-    for at in range(len(ids)):
-        on = model.lanes[: int((sizes > at).sum())]
-        model.look(on)
-        now = model.guess2.astype(np.int64)
-        some = np.flatnonzero(model.guess2 != _NONE)
-        hit = coder.flag(on[some], model.chance2(on, some))
-        model.held2(on, some, hit)
-        open_ = np.ones(len(on), bool)
-        open_[some[hit]] = False
-        some = np.flatnonzero(open_ & (model.guess1 != _NONE) & (model.guess1 != model.guess2))
-        hit = coder.flag(on[some], model.chance1(on, some))
-        model.held1(on, some, hit)
-        now[some[hit]] = model.guess1[some[hit]]
-        open_[some[hit]] = False
-        coder.settle(on)
-        rest = np.flatnonzero(open_)
-        lanes = on[rest]
-        unit = coder.width[lanes] >> _U(12)
-        place = coder.number(lanes, unit, 4095)
-        kind = (model.ends[lanes, 1:] <= place[:, None]).sum(1)
+    model, coder = _Model(len(data), kind_of), _Reader(data)
+    places = np.zeros(len(data), np.int16)
+    working = (sizes > np.arange(len(ids))[:, None]).sum(1).tolist()
+    for at, n in enumerate(working):
+        model.look(n)
+        coded = model.guess2 >= 0
+        hit = coder.flag(n, model.chance2(n), coded)
+        model.held2(n, coded, hit)
+        open_ = ~hit
+        coded = open_ & (model.guess1 >= 0) & (model.guess1 != model.guess2)
+        hit = coder.flag(n, model.chance1(n), coded)
+        model.held1(n, coded, hit)
+        open_ &= ~hit
+        now = np.where(hit, model.guess1, model.guess2)
+        coder.settle(n)
+        lanes = np.flatnonzero(open_)
+        low = coder.low.take(lanes)
+        code = coder.code.take(lanes) - low
+        unit = coder.width.take(lanes) >> _U(12)
+        places[lanes] = _place(code, unit, 4095)
+        # how many classes end at the place or before it
+        kind = np.add.reduce((model.ends[1:, :n] <= places[:n]).view(np.uint8), 0, np.uint8).take(lanes).astype(np.int64)
         kind = np.minimum(kind, _CLASSES - 1)
         bits = np.maximum(kind - 1, 0)
-        first = model.ends[lanes, kind]
-        coder.narrow(lanes, unit, first, model.ends[lanes, kind + 1] - first)
-        unit = coder.width[lanes] >> bits.astype(np.uint64)
-        inner = coder.number(lanes, unit, (1 << bits) - 1)
-        coder.narrow(lanes, unit, inner, np.ones_like(inner))
-        coder.settle(lanes)
+        first, end = model.ends[kind, lanes].astype(np.uint64), model.ends[kind + 1, lanes].astype(np.uint64)
+        width = unit * (end - first) >> bits.view(np.uint64)
+        start = unit * first
+        inner = _place(code - start, width, (1 << bits) - 1)
+        coder.put(lanes, low + start + width * inner.view(np.uint64), width)
         large = kind == _LARGE
-        values = np.where(kind == 0, 0, np.where(large, inner << 16, (1 << bits) + inner))
+        values = np.where(large, inner << 16, ((1 << bits) + inner) * (kind > 0))
         if large.any():
             some = lanes[large]
-            unit = coder.width[some] >> _U(16)
-            low = coder.number(some, unit, 65_535)
-            coder.narrow(some, unit, low, np.ones_like(low))
-            coder.settle(some)
-            values[large] += low
+            width = coder.width[some] >> _U(16)
+            lower = _place(coder.code[some] - coder.low[some], width, 65_535)
+            coder.put(some, coder.low[some] + width * lower.view(np.uint64), width)
+            values[large] += lower
+            if kind_of is np.int32 and values.max() >= _WIDE:
+                return decode_blocks(data, lengths, np.int64)
         model.counts[lanes, kind] += 4
-        now[rest] = values
-        ids[at, : len(on)] = now
-        model.learn(on, now)
+        now[lanes] = values
+        ids[at, :n] = now
+        model.learn(n, now)
         if at % _REFRESH == 0:
             model.refresh()
     return [ids[:n, i].astype(np.int64) for i, n in enumerate(lengths)]

@@ -228,6 +228,22 @@ def test_ids_of_any_32_bit_size():
         token_coder.encode_blocks([np.array([2**32 - 1])])
 
 
+def test_a_slab_holds_the_blocks_of_a_usual_file(monkeypatch):
+    monkeypatch.setattr(token_coder, "BLOCK", 4)
+    whole, slabs = token_coder.encode_blocks, []
+    monkeypatch.setattr(token_coder, "encode_blocks", lambda blocks: slabs.append(len(blocks)) or whole(blocks))
+    ids = np.arange(12_000) * 7919 % 50_257
+    # an id that the narrow context tables cannot hold, late in the file
+    ids[11_000] = token_coder._WIDE
+    out = Kept()
+    writer = token_coder.FileWriter(out)
+    writer.add(np.arange(1), np.ones(1, bool), np.array([len(ids)]), ids)
+    writer.close()
+    assert slabs == [3000]
+    back = [found for found, _ in token_coder.read_file(io.BytesIO(out.getvalue()))]
+    assert np.array_equal(np.concatenate(back), ids)
+
+
 def test_damage_is_noticed():
     out = Kept()
     writer = token_coder.FileWriter(out)
